@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -28,6 +31,20 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_nearkin_shipped", None) is None:
+        top = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="nearkin-")) / "nearkin.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(top.rglob("*.py")):
+                z.write(file, file.relative_to(top.parent))
+        context.addPyFile(str(archive))
+        context._nearkin_shipped = str(archive)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -53,3 +70,8 @@ def cut(df: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession, name: str) -> str:
     """The URI of a folder of this call's own in the shared folder; not yet created."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (cut, so that counting is cheap) marked for a broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
