@@ -6,28 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearkin.llm import language_id, secrets, toxicity
+from nearkin.llm.decontaminate import contaminated
 from nearkin.llm.exact_dedup import exact_dedup
+from nearkin.llm.html_extract import extract_pages
 from nearkin.llm.mixing import mix_sources
 from nearkin.llm.simhash import near_dedup
+from nearkin.llm.token_counts import count_tokens
 from nearkin.llm.warc import round_trip
+from nearkin.runtime import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).documents
 
@@ -43,13 +72,43 @@ r AS (
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM r
 """
 
+#: Shingles of five words; items of the table have at least five words.
+OP4_SQL = r"""
+WITH iw AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+ish AS (
+  SELECT item_id, len(w) AS l, q, array_to_string(w[q : q + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS q FROM iw)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+dsh AS (
+  SELECT doc_id, len(w) AS n, p, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS p FROM dw)),
+st AS (SELECT DISTINCT doc_id, item_id, n, l, greatest(0, least(p - q, n - l)) AS start FROM dsh JOIN ish USING (s)),
+win AS (
+  SELECT st.doc_id, item_id, start, n, l, d.s, count(*) AS c FROM st JOIN dsh d ON d.doc_id = st.doc_id AND d.p BETWEEN start + 1 AND start + l - 4
+  GROUP BY ALL),
+ic AS (SELECT item_id, s, count(*) AS c FROM ish GROUP BY ALL),
+m AS (SELECT item_id, sum(c) AS m FROM ic GROUP BY ALL),
+both AS (
+  SELECT doc_id, item_id, start, n, l, sum(win.c) AS mw, sum(least(win.c, coalesce(ic.c, 0))) AS i
+  FROM win LEFT JOIN ic USING (item_id, s) GROUP BY ALL),
+scored AS (SELECT *, i / (mw + m - i) AS similarity, least(l, n - start) AS n_words FROM both JOIN m USING (item_id))
+SELECT doc_id, item_id, similarity, start, n_words FROM scored WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
+    "op6_secrets": op6_secrets,
+    "op7_html_extraction": op7_html_extraction,
     "op8_warc": op8_warc,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op4_decontamination": OP4_SQL,
 }
