@@ -1,0 +1 @@
+"""There is no streaming operator: scans are one-shot and nothing is kept between them."""
