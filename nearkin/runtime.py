@@ -31,8 +31,16 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
     return spark
 
 
+#: Most bytes of rows in one batch for a Python worker, so that long rows do not add up.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once per context, so that their Python workers can import it."""
+    """Send this package to the executors, once per context, so that their Python workers can import
+    it; bound the batches that workers get, unless the session bounds them more tightly."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_nearkin_shipped", None) is None:
         top = Path(__file__).resolve().parent
@@ -45,6 +53,12 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _bytes(value: str) -> int:
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number = value.lower().rstrip("b")
+    return int(number[:-1]) * units[number[-1]] if number and number[-1] in units else int(number)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
