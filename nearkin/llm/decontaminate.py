@@ -92,12 +92,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n = shingles.count()
     widths = sorted(r[0] for r in shingles.select("width").distinct().collect())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if not widths:
-        texts = texts.limit(0)
-    hits = _with_shingle(texts, shingles, widths or [WIDTH], n)
+    hits = _with_shingle(texts, shingles, widths, n)
+    widths = widths or [WIDTH]
 
     worded = hits.select("row", F.expr(WORDS).alias("words"))
-    placed = worded.select("row", F.size("words").alias("n"), F.expr(f"inline(array({', '.join(f'struct({k} AS width, {_hashes("words", k)} AS hashes)' for k in widths or [WIDTH])}))"))
+    placed = worded.select("row", F.size("words").alias("n"), F.expr(f"inline(array({', '.join(f'struct({k} AS width, {_hashes("words", k)} AS hashes)' for k in widths)}))"))
     anchors = placed.selectExpr("row", "n", "width", "posexplode(hashes) AS (place, hash)").join(small(shingles, BROADCAST_ROWS), ["hash", "width"])
     start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("n") - F.col("length")))
     starts = anchors.select("row", "item", "length", "width", start.alias("start")).distinct()

@@ -30,13 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.operators.components import connected_components
-from nearkin.runtime import cut
+from nearkin.runtime import cut, small
 
 BITS = 64
 LANES = np.uint64(0x0001000100010001)
 PIECE = 50_000
 BATCH = 200_000
 MAX_ROUNDS = 8
+#: Most identifiers that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
@@ -205,3 +207,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest identifier, and of
+    repeated rows of that any one. Rows with a null identifier cannot be named and stay.
+
+    Only identifiers of dropped documents meet the texts again: by broadcast if they are few.
+    """
+    prints = near_dedup(docs, id_col, text_col, width, radius).filter("doc_id IS NOT NULL")
+    lost = cut(prints.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct())
+    left = docs.join(small(lost, BROADCAST_ROWS), F.col(f"`{id_col}`") == F.col("_lost"), "left_anti")
+    again = cut(prints.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
+    if again.isEmpty():
+        return left
+    repeated = F.col(f"`{id_col}`") == F.col("_again")
+    rest = left.join(small(again, BROADCAST_ROWS), repeated, "left_anti")
+    return rest.unionByName(left.join(small(again, BROADCAST_ROWS), repeated, "left_semi").dropDuplicates([id_col]))

@@ -47,7 +47,7 @@ CLAUSE_END = re.compile(r"[.!?;:\n]+")
 #: What the composed machine may give out: the features.
 PATTERNS = "iIlLtxq"
 NEGATION_REACH = 3
-PRIOR = {"bias": -2.2, "i": 2.0, "I": 3.0, "l": 1.5, "L": 2.0, "t": 2.5, "x": -0.5, "q": 0.5}
+PRIOR = {"bias": -2.2, "i": 4.0, "I": 5.0, "l": 2.5, "L": 3.5, "t": 4.0, "x": -0.5, "q": 1.0}
 
 
 @dataclass

@@ -1,0 +1,340 @@
+"""Language ID, toxicity, secrets, HTML, token counts and decontamination against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from nearkin.llm import decontaminate, html_extract, language_id, secrets, token_counts, toxicity
+from nearkin.runtime import new_folder
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SYLLABLES = {"aa": "ba be bi bo bu".split(), "bb": "ta te ti to tu".split(), "cc": "bat bet tib tob xo".split()}
+
+
+def prose(rng, lang, words):
+    return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randrange(1, 5))) for _ in range(words))
+
+
+# Language ID
+
+def longest_match_phrases(text, corpus, segment):
+    """Greedy phrases of each segment of a text by plain substring search."""
+    n = 0
+    for at in range(0, len(text), segment):
+        part, i = text[at : at + segment], 0
+        while i < len(part):
+            k = 1
+            while i + k < len(part) and part[i : i + k + 1] in corpus:
+                k += 1
+            n += 1
+            i += k
+    return n
+
+
+def test_phrases_brute_force():
+    rng = random.Random(4)
+    model = language_id.LanguageModel(("aa", "bb"), (prose(rng, "aa", 300), prose(rng, "bb", 300)), "abeioutx")
+    p = language_id.parser(model)
+    texts = ["", "!", "ba", prose(rng, "aa", 700), prose(rng, "cc", 300) + "Q 12 " + prose(rng, "bb", 5), "éé z Ba"]
+    texts += [prose(rng, rng.choice("ab") * 2, rng.randrange(60)) for _ in range(50)]
+    counts, letters = p.phrases(texts)
+    plain = lambda t: "".join(chr(65 + c) for c in p.encode(t)[0])
+    for text, row, n in zip(texts, counts, letters, strict=True):
+        assert n == sum(c.isalpha() for c in text)
+        assert list(row) == [longest_match_phrases(plain(text), plain(t), language_id.SEGMENT) for t in model.texts]
+
+
+def test_language_id(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, lang := rng.choice(sorted(SYLLABLES)), rng.randrange(8, 200)), lang, "s", 0) for i in range(200)]
+    rows += [(500, None, "aa", "s", 0), (501, "", "aa", "s", 0), (502, "12 !", "bb", "s", 0), (503, "ba " * 50_000, None, "s", 0), (None, "ba be bi", "aa", "s", 0)]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == len(rows)
+    for i, _, lang, _, _ in rows:
+        assert got[i]["held_out"] == (zlib.crc32(str(i if i is not None else "").encode()) % 5 == 0)
+        assert 0 <= got[i]["score"] <= 1
+    assert [got[i]["lang_pred"] for i in (500, 501, 502, 503)] == ["und", "und", "und", "aa"]
+    scored = [got[i]["lang_pred"] == lang for i, _, lang, _, _ in rows[:200] if got[i]["held_out"]]
+    assert sum(scored) / len(scored) > 0.95
+
+
+def test_language_id_ignores_labels_of_held_out(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, lang := rng.choice(["aa", "bb"]), 50), lang, "s", 0) for i in range(80)]
+    other = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 5 == 0 else lang, "x", 1) for i, t, lang, _, _ in rows]
+    a, b = (sorted(map(tuple, language_id.identify(spark.createDataFrame(r, DOCS)).collect())) for r in (rows, other))
+    assert a == b
+
+
+def test_language_id_nothing_to_learn(spark):
+    assert language_id.identify(spark.createDataFrame([], DOCS)).collect() == []
+    assert [r["lang_pred"] for r in language_id.identify(spark.createDataFrame([(1, "ba", None, "s", 1)], DOCS)).collect()] == ["und"]
+
+
+# Toxicity
+
+def test_grammar():
+    m = toxicity.grammar()
+    out = lambda words: "".join(o for o in m.run(toxicity._symbols(words.split(), frozenset(["grumf"])))[0] if o in toxicity.PATTERNS)
+    assert out("what an idiot") == "i"
+    assert out("you idiot") == "I"
+    assert out("you are not an idiot") == "x"
+    assert out("they said idiot") == "q"
+    assert out("kill the lights") == ""
+    assert out("i will kill you") == "t"
+    assert out("grumf") == "l" and out("you grumf") == "L"
+    assert out("not the best of all such long idiot") == "i"
+
+
+def test_composition_is_application():
+    rng = random.Random(2)
+    a = toxicity.Transducer({(q, s): ((q + k) % 3, "xyz"[(q * k) % 3], 0.5) for q in range(3) for k, s in enumerate("abc")})
+    b = toxicity.Transducer({(q, s): ((q + k) % 2, "pqr"[(q + k) % 3], 0.25) for q in range(2) for k, s in enumerate("xyz")})
+    both = a.then(b)
+    for _ in range(50):
+        w = "".join(rng.choice("abc") for _ in range(9))
+        middle, x = a.run(w)
+        end, y = b.run(middle)
+        assert both.run(w) == (end, x + y)
+
+
+def test_toxicity(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(1500):
+        text, bad = prose(rng, "aa", rng.randrange(20, 60)), rng.random() < 0.2
+        if bad:
+            words = text.split()
+            words.insert(rng.randrange(len(words)), rng.choice(["idiot", "you moron", "grumfle", "zarkish"]))
+            text = " ".join(words)
+        rows.append((i, text, "aa", "s", 0))
+        labels.append((i, 1, int(bad)))
+    rows += [(9000, None, "", "", 0), (9001, "", "", "", 0), (9002, "idiot " * 30_000, "", "", 0)]
+    labels += [(12345, 1, 1), (None, 1, 1), (3, 1, None)]
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.detect(docs, marks).collect()}
+    assert len(got) == len(rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+    assert got[9000]["score"] == got[9001]["score"] < 0.5 and got[9002]["predicted"] == 1
+    held = [(got[i]["predicted"], bad) for i, _, bad in labels[:1500] if got[i]["held_out"]]
+    assert all(p == bad for p, bad in held)
+
+
+def test_toxicity_empty(spark):
+    docs, marks = spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.detect(docs, marks).collect() == []
+    one = spark.createDataFrame([(1, "you idiot", "", "", 0)], DOCS)
+    assert [r["predicted"] for r in toxicity.detect(one, marks).collect()] == [1]
+
+
+# Secrets
+
+def base_spans_brute(text):
+    """The rules as they are written: match, consume, then drop."""
+    rules = [("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")]
+    out = []
+    for k, (kind, rule) in enumerate(rules):
+        for m in re.finditer(rule, text, re.I | re.A if kind == "assign" else 0):
+            if {"assign": lambda m=m: len(m[2]) >= 12, "access": lambda m=m: len(m[0]) >= 18, "hex": lambda m=m: len(m[0]) >= 16}[kind]():
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+def secret_texts():
+    rng = random.Random(9)
+    parts = ["password", "PassWd", "api_key", "apikey", "token", " ", "=", ":", "'", '"', "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", "é", "\U0001f600", "x", "secret=short", "\n", "ABC_def.123=", "ſK"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(400)]
+
+
+def test_secrets(spark):
+    texts = [None, "", *secret_texts(), "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "ab " * 60_000 + "token = '0123456789abcdef'"]
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)] + [(0, None, "", "", 0), (None, "x", "", "", 0)], DOCS)
+    got = secrets.scan(docs).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        spans = base_spans_brute(texts[r["doc_id"]] or "" if r["doc_id"] is not None else "x")
+        kinds = Counter(s.split(":")[0] for s in spans)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"])
+        assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert set(spans) <= set(r["spans"].split(",")) | {""} and (spans or not r["spans"] or ":" in r["spans"])
+    assert "pem:0:" in {r["doc_id"]: r for r in got}[len(texts) - 2]["spans"]
+
+
+def test_secret_ledger_scans_only_the_unseen(spark):
+    folder = new_folder(spark, "ledger")
+    first = spark.createDataFrame([(1, "token=0123456789abcdef", "", "", 0), (2, "token=0123456789abcdef", "", "", 0)], DOCS)
+    more = first.union(spark.createDataFrame([(3, "clean", "", "", 0)], DOCS))
+    assert {r["doc_id"]: r["n_assign"] for r in secrets.scan(first, folder).collect()} == {1: 1, 2: 1}
+    assert {r["doc_id"]: r["n_assign"] for r in secrets.scan(more, folder).collect()} == {1: 1, 2: 1, 3: 0}
+    assert secrets.ledger(spark, folder).count() == 2
+    assert secrets.ledger(spark, folder, "other").count() == 0
+    assert secrets.scan(first.limit(0)).collect() == []
+
+
+# HTML
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
+<header><p>Site</p></header><nav><ul><li><a href="/">Home {n}</a><li>More</ul></nav><div class="cookie-notice">We use</div>
+<article><h1>Head {n}</h1><p><b>One &amp; {n}<br>two<p>three\xa0 <i>x</i>y</p><div class="comments"><p>nice!</p></div><form><input value="a>b"><p>mail</p></form></article>
+<aside>side</aside><!-- <p>gone</p> --><footer>&copy; me</footer></body></html>"""
+
+
+def test_extract():
+    assert html_extract.extract(PAGE.format(n=7)) == "Head 7\nOne & 7 two\nthree xy"
+    assert html_extract.extract(None) == html_extract.extract("") == ""
+    assert html_extract.extract("plain  text &lt;b&gt; <b") == "plain text <b>"
+    assert html_extract.extract("<p>a<p>b<div>c</div>d<table><tr><td>e<td>f</table>") == "a\nb\nc\nd\ne\nf"
+    assert html_extract.extract("<article><p>" + "w " * 100_000 + "</p></article>") == ("w " * 100_000).strip()
+    assert html_extract.extract("<SCRIPT>İ</p></SCRIPT><p>x</p>") == "x"
+
+
+def best_match_brute(a, b):
+    if a.label != b.label:
+        return 0
+
+    def best(i, j):
+        if i == len(a.children) or j == len(b.children):
+            return 0
+        x, y = a.children[i], b.children[j]
+        own = (2 if x.text is not None and x.text == y.text else best_match_brute(x, y)) if x.label == y.label else 0
+        return max(best(i + 1, j), best(i, j + 1), best(i + 1, j + 1) + own)
+
+    return 1 + best(0, 0)
+
+
+def test_tree_matching_brute_force():
+    rng = random.Random(3)
+
+    def tree(depth):
+        node = html_extract.Node(rng.choice("ab"))
+        for _ in range(rng.randrange(4)):
+            node.children.append(tree(depth - 1) if depth and rng.random() < 0.6 else html_extract.Node("#", rng.choice("xyz")))
+        return node
+
+    for _ in range(200):
+        a, b = tree(2), tree(2)
+        size, pairs = html_extract.match(a, b)
+        assert size == best_match_brute(a, b)
+        assert all(x.label == y.label for x, y in pairs)
+
+
+def test_wrapper_induction(spark):
+    rng = random.Random(4)
+    page = "<html><body><div><p>Welcome to the site</p><a>Imprint</a></div><div><p>{}</p><p>{}</p></div><div><p>All rights</p></div></body></html>"
+    rows = [(i, f"http://h{i % 2}.org/{i}", page.format(prose(rng, "aa", 9), prose(rng, "bb", 9))) for i in range(20)]
+    rows += [(50, None, PAGE.format(n=1)), (51, "http://solo.org", PAGE.format(n=2)), (52, "odd", None)] + [(60 + i, "http://copy.org/", page.format("same", "text")) for i in range(5)]
+    got = {r["page_id"]: r for r in html_extract.extract_pages(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, host int")).collect()}
+    assert len(got) == len(rows)
+    for i, _, html in rows[:20]:
+        paragraphs = re.findall("<p>(.*?)</p>", html)
+        assert got[i]["text"] == "\n".join(paragraphs[1:3])
+        assert got[i]["n_chars"] == len(got[i]["text"])
+    assert got[51]["text"] == "Head 2\nOne & 2 two\nthree xy" and got[52]["text"] == ""
+    assert got[60]["text"] == "Welcome to the site\nImprint\nsame\ntext\nAll rights"
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+# Token counts
+
+@pytest.mark.parametrize("rule", ["start", "most"])
+def test_token_counts(spark, rule):
+    rng = random.Random(5)
+    texts = [None, "", "\n", "a\n\n\nb", "no end", "é\U0001f600\n\U0001f600x\n", "  \n  indented\n\ttab\n", "word " * 40_000]
+    texts += ["".join(rng.choice(["ab", " ", "\n", "\n\n", "é", "漢", "12", "!?", "\U0001f600"]) for _ in range(60)) for _ in range(60)]
+    code, sizes = token_counts.encoder(token_counts.VOCABULARY)
+    got = token_counts.count_tokens(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS), rule=rule).collect()
+    for i, text in enumerate(texts):
+        rows = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["section"])
+        lines = (text or "").splitlines(keepends=True) if set(text or "") <= set("ab \né漢12!?\U0001f600nodxwirte\t") else None
+        lines = re.findall(r"[^\n]*\n|[^\n]+", text or "") or [""]
+        assert ["".join((text or "")[r["start"] : r["end"]]) for r in rows] == lines
+        ids = code.encode_ordinary(text or "")
+        assert {r["n_tokens"] for r in rows} == {len(ids)} and sum(r["section_tokens"] for r in rows) == len(ids)
+        if len(ids) > 2000:
+            continue
+        want, at, owner = Counter(), 0, [k for k, line in enumerate(lines) for _ in line.encode()]
+        for t in ids:
+            span = owner[at : at + int(sizes[t])]
+            want[span[0] if rule == "start" else min(span, key=lambda k, span=span: (-span.count(k), k))] += 1
+            at += int(sizes[t])
+        assert [r["section_tokens"] for r in rows] == [want[k] for k in range(len(lines))]
+
+
+def test_token_counts_edges(spark):
+    assert token_counts.count_tokens(spark.createDataFrame([], DOCS)).collect() == []
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(spark.createDataFrame([], DOCS), rule="none")
+
+
+# Decontamination
+
+def leaks_brute(docs, items):
+    """The best window of every document and item, over all windows."""
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    out = {}
+    for item, text in items:
+        w = words(text)
+        if not w:
+            continue
+        k = min(5, len(w))
+        parts = lambda x, k=k: Counter(" ".join(x[i : i + k]) for i in range(len(x) - k + 1))
+        mine = parts(w)
+        for doc, body in docs:
+            v = words(body)
+            for s in range(max(1, len(v) - len(w) + 1)):
+                own = parts(v[s : s + len(w)])
+                sim = sum((mine & own).values()) / max(1, sum((mine | own).values()))
+                if sim >= 0.8:
+                    out[doc, item] = max(out.get((doc, item), (0, 0)), (sim, -s))
+    return out
+
+
+@pytest.mark.parametrize("inline", [20_000, 0])
+def test_decontamination(spark, monkeypatch, inline):
+    monkeypatch.setattr(decontaminate, "INLINE", inline)
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(say(n))) for i, n in enumerate([3, 5, 20, 40, 60, 60, 90])] + [(100, None), (101, " - "), (102, "same same same same same same same same")]
+    docs = [(0, None), (1, ""), (2, "one"), (3, "same " * 3000), (4, "W1, w2! w3")]
+    for i, text in items[:7]:
+        w = text.split()
+        docs.append((len(docs) + 10, " ".join(say(30) + w + say(30))))
+        docs.append((len(docs) + 10, text.upper().replace(" ", ", ")))
+        docs.append((len(docs) + 10, " ".join(say(10) + w[: len(w) * 2 // 3] + say(40))))
+        for cut in (1, 2, 4):
+            docs.append((len(docs) + 10, " ".join(say(10) + w[cut:] + say(9))))
+        docs.append((len(docs) + 10, " ".join(say(10) + w[: len(w) // 2] + ["inserted"] + w[len(w) // 2 :] + say(10))))
+    frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item int")
+    bench = spark.createDataFrame([(*b, 1) for b in items] + [(*items[3], 2)], "item_id long, text string, doc_id int")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], -r["start"]) for r in decontaminate.contaminated(frame, bench).collect()}
+    assert got == leaks_brute(docs, items)
+    left = decontaminate.drop_contaminated(frame, bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted({d for d, _ in docs} - {d for d, _ in got})
+    assert left.columns == frame.columns
+
+
+def test_decontamination_edges(spark):
+    docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(docs, bench).collect() == []
+    some = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
+    assert decontaminate.contaminated(some, bench).collect() == []
+    item = spark.createDataFrame([(5, "a b c d e f")], "item_id long, text string")
+    assert sorted((r[0] or 0, r[1]) for r in decontaminate.contaminated(some, item).collect()) == [(0, 5), (1, 5)]
+    assert decontaminate.contaminated(docs, item).collect() == []
+
+
+def test_simhash_expression(spark):
+    rng = np.random.default_rng(1)
+    hashes = [[int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, n)] for n in (0, 1, 2, 9, 300)]
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(h,) for h in hashes], "v array<long>").select(F.expr(decontaminate._simhash("v"))).collect()
+    for row, h in zip(got, hashes, strict=True):
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert row[0] & (1 << 64) - 1 == want
