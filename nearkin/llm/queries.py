@@ -83,14 +83,14 @@ dsh AS (
   SELECT doc_id, len(w) AS n, p, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS p FROM dw)),
 st AS (SELECT DISTINCT doc_id, item_id, n, l, greatest(0, least(p - q, n - l)) AS start FROM dsh JOIN ish USING (s)),
 win AS (
-  SELECT st.doc_id, item_id, start, n, l, d.s, count(*) AS c FROM st JOIN dsh d ON d.doc_id = st.doc_id AND d.p BETWEEN start + 1 AND start + l - 4
+  SELECT st.doc_id, item_id, start, st.n, l, d.s, count(*) AS c FROM st JOIN dsh d ON d.doc_id = st.doc_id AND d.p BETWEEN start + 1 AND start + l - 4
   GROUP BY ALL),
 ic AS (SELECT item_id, s, count(*) AS c FROM ish GROUP BY ALL),
 m AS (SELECT item_id, sum(c) AS m FROM ic GROUP BY ALL),
-both AS (
+pair AS (
   SELECT doc_id, item_id, start, n, l, sum(win.c) AS mw, sum(least(win.c, coalesce(ic.c, 0))) AS i
   FROM win LEFT JOIN ic USING (item_id, s) GROUP BY ALL),
-scored AS (SELECT *, i / (mw + m - i) AS similarity, least(l, n - start) AS n_words FROM both JOIN m USING (item_id))
+scored AS (SELECT *, i / (mw + m - i) AS similarity, least(l, n - start) AS n_words FROM pair JOIN m USING (item_id))
 SELECT doc_id, item_id, similarity, start, n_words FROM scored WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
