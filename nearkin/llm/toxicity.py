@@ -9,8 +9,9 @@ model weighs how often the matched clauses of a text show each pattern.
 
 Fitting uses at most ``train_rows`` labelled documents whose crc32(doc_id as text) mod 5 is not 0:
 two thirds of them find learned words (words that toxic texts use significantly more often), the
-other third the weights, so a learned word has to prove itself on texts that did not suggest it.
-Without labels the prior weights stay.
+other third the weights, so learned words have to prove themselves on texts that did not suggest
+them; with these weights, the model takes the words that all of the sample suggests. Without
+labels the prior weights stay.
 
 Defined results: null and empty texts score as texts without a match; repeated rows each get their
 row; labels of unknown documents and null labels are ignored; of a document labelled more than
@@ -171,7 +172,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", train_rows: int = 20_000, max_words: int = 2_000, support: int = 4, chance: float = 1e-5) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", train_rows: int = 20_000, max_words: int = 2_000, support: int = 4, chance: float = 1e-4) -> ToxicityModel:
     sample = _sample(docs, labels, id_col, text_col, label_id, label_col, train_rows)
     words = _learn_words(sample.filter("part <> 0"), max_words, support, chance)
     prior = np.array([PRIOR["bias"], *(PRIOR[p] for p in PATTERNS)])
@@ -185,6 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = sample.filter("part = 0").select("text", "toxic").mapInArrow(run, "x array<double>, toxic int")
     # equal feature vectors come as one row with its count: few patterns, so few rows
     table = rows.groupBy("x", "toxic").count().collect()
+    # the weights come from words that the rows did not suggest; the model takes all rows' words
+    words = _learn_words(sample, max_words, support, chance)
     if not table:
         return ToxicityModel(words, tuple(prior))
     x = np.array([r["x"] for r in table])
