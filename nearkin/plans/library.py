@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,3 +66,25 @@ def scan_library(spark: SparkSession, root: str, threshold: int = DEFAULT_THRESH
 def progress_due(done: int, total: int) -> bool:
     """Whether a report is due after ``done`` of ``total`` photos: about 200 times, and at the end."""
     return done == total or done % max(1, total // PROGRESS_STEPS) == 0
+
+
+@contextmanager
+def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs that start within carry ``tag``; ``cancel`` stops them from another thread."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stop the running jobs with a tag; their scan fails and gives no result."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
+def progress(spark: SparkSession) -> tuple[int, int]:
+    """(done, total) tasks of the stages that run now, for a poller."""
+    tracker = spark.sparkContext.statusTracker()
+    infos = [tracker.getStageInfo(i) for i in tracker.getActiveStageIds()]
+    return sum(i.numCompletedTasks for i in infos if i), sum(i.numTasks for i in infos if i)

@@ -21,8 +21,8 @@ from nearkin.functions.exif import DATE_TYPE, PREFIX_BYTES, exif_date, read_orie
 from nearkin.functions.paths import PHOTO_EXTENSIONS, has_photo_extension
 from nearkin.functions.raster import np_box_downscale, np_difference_hash, np_laplacian_variance
 
-#: Fixed value: the longest side that is hashed.
-WORKING_SIDE = 256
+#: The longest side that is hashed, and that of a thumbnail.
+WORKING_SIDE, THUMBNAIL_SIDE = 256, 132
 FEATURES = f"path string, file_size long, hash long, sharpness double, date {DATE_TYPE}, width int, height int, decoded boolean"
 
 #: A decoder takes (path, bytes) and gives (gray 2-D array, original width, original height), or None.
@@ -71,6 +71,13 @@ def fit(gray: np.ndarray, side: int = WORKING_SIDE) -> np.ndarray:
     return np_box_downscale(gray, max(1, round(w * scale)), max(1, round(h * scale)))
 
 
+def thumbnail(gray: np.ndarray, side: int = THUMBNAIL_SIDE) -> np.ndarray:
+    """Scaled so that the longest side is ``side``; small images are enlarged."""
+    h, w = gray.shape
+    scale = side / max(h, w)
+    return np_box_downscale(gray, max(1, round(w * scale)), max(1, round(h * scale)))
+
+
 def upright(gray: np.ndarray, orientation: int) -> np.ndarray:
     """Turned and mirrored as the orientation tag says."""
     turned = {1: gray, 2: gray[:, ::-1], 3: gray[::-1, ::-1], 4: gray[::-1], 5: gray.T, 6: gray.T[:, ::-1], 7: gray.T[::-1, ::-1], 8: gray.T[::-1]}

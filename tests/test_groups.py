@@ -4,6 +4,8 @@ import os
 import random
 import re
 import struct
+import threading
+import time
 import zlib
 from collections import defaultdict
 
@@ -283,6 +285,7 @@ def test_orientation_and_luma():
     assert images.upright(img, 3).tolist() == [[5, 4, 3], [2, 1, 0]]
     assert images.to_gray(bytes([10, 20, 30]), 1, 1, 3).tolist() == [[(11 * 30 + 16 * 20 + 5 * 10) // 32]]
     assert images.fit(np.zeros((600, 900), np.uint8)).shape == (171, 256) and images.fit(img).shape == (2, 3)
+    assert images.thumbnail(img).shape == (88, 132) and images.thumbnail(np.zeros((600, 300), np.uint8)).shape == (132, 66)
 
 
 def test_actions(spark, tmp_path):
@@ -306,3 +309,26 @@ def test_progress():
         due = [d for d in range(1, total + 1) if library.progress_due(d, total)]
         assert due[-1] == total and len(due) <= 401
     assert [d for d in range(1, 51) if library.progress_due(d, 50)] == list(range(1, 51))
+
+
+def test_cancel_and_progress(spark):
+    assert library.progress(spark) == (0, 0)
+    failed = []
+
+    def work():
+        with library.tagged(spark, "scan-1"):
+            try:
+                spark.range(0, 10**13, 1, 4).selectExpr("sum(id * id % 7)").collect()
+            except Exception as e:
+                failed.append(e)
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    for _ in range(100):
+        time.sleep(0.1)
+        if library.progress(spark)[1]:
+            break
+    while thread.is_alive():
+        library.cancel(spark, "scan-1")
+        thread.join(0.5)
+    assert failed
