@@ -98,7 +98,8 @@ def scan(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", tex
     folder = folder or new_folder(spark, "ledger")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     known = ledger(spark, folder)
-    unseen = rows.select("blob", "text").join(known.select("blob"), "blob", "left_anti")
-    once = unseen.groupBy("blob").agg(F.first("text").alias("text"))
-    once.mapInArrow(_scan, f"blob string, {FOUND}").write.mode("append").parquet(f"{folder}/rules={RULES}")
+    # one copy per blob comes first, so that copies meet in each task before any row is shuffled
+    once = rows.groupBy("blob").agg(F.first("text").alias("text"))
+    unseen = once.join(known.select("blob"), "blob", "left_anti").select("blob", "text")
+    unseen.mapInArrow(_scan, f"blob string, {FOUND}").write.mode("append").parquet(f"{folder}/rules={RULES}")
     return rows.select("doc_id", "blob").join(ledger(spark, folder), "blob").select("doc_id", *(x.split()[0] for x in FOUND.split(", ")))
