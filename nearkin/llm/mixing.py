@@ -163,7 +163,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pieces = pieces.select("s", "start", "block", F.greatest(F.col("start") - first, F.lit(0)).alias("lo"), F.least(F.col("start") + F.col("size") - first, F.lit(block)).alias("hi"))
 
     slots = _slots(spark, plans, keys, block, shard_slots, seed)
-    taken = slots.join(pieces, ["s", "block"]).groupBy("s", "start").agg(F.sum(F.greatest(F.least("hi", "limit") - F.col("lo"), F.lit(0))).alias("taken"))
+    # the planner takes exploded slots for a small table; both sides grow with the words
+    taken = slots.hint("merge").join(pieces, ["s", "block"]).groupBy("s", "start").agg(F.sum(F.greatest(F.least("hi", "limit") - F.col("lo"), F.lit(0))).alias("taken"))
     out = placed.alias("p").join(taken.alias("t"), (F.col("p.s") == F.col("t.s")) & (F.col("p.start") == F.col("t.start")) & (F.col("p.size") > 0), "left")
     documents = out.select("p.doc_id", "p.size", "p.source_size", "p.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
     return Mixture(documents, slots, pieces)
