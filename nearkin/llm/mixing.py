@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -184,11 +186,12 @@ def _slots(spark, plans: list[tuple[int, int, int]], keys: list[int], block: int
     schema = "shard long, s int, n long, first long, blocks long, quota long, last long, key long"
     draws = spark.createDataFrame([tuple(int(v) for v in r) for r in table.itertuples(index=False)], schema).repartition("shard", "s")
 
-    @F.pandas_udf("long")
-    def place(slot: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
-        slot, blocks, key = (np.asarray(v, np.int64) for v in (slot, blocks, key))
-        return pd.Series(permuted(slot % blocks, blocks, key + slot // blocks))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, slot, s, blocks, quota, last, key = (c.to_numpy() for c in batch.columns)
+            limit = np.where(slot == quota - 1, last, block)
+            columns = [shard, slot, s, permuted(slot % blocks, blocks, key + slot // blocks), limit]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "slot", "s", "block", "limit"])
 
-    each = draws.select("shard", "s", "blocks", "quota", "last", "key", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
-    limit = F.when(F.col("slot") == F.col("quota") - 1, F.col("last")).otherwise(F.lit(block))
-    return each.select("shard", "slot", "s", place("slot", "blocks", "key").alias("block"), limit.alias("limit"))
+    each = draws.select("shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"), "s", "blocks", "quota", "last", "key")
+    return each.mapInArrow(place, "shard long, slot long, s int, block long, limit long")
