@@ -79,7 +79,7 @@ def _with_shingle(docs: DataFrame, shingles: DataFrame, widths: list[int], n: in
         some = docs.filter(F.expr(found))
     else:
         every = F.explode(F.expr(f"concat({', '.join(_hashes(WORDS, k) for k in widths)})"))
-        shared = docs.select("doc_id", every.alias("hash")).join(shingles.select("hash").distinct(), "hash", "left_semi").select(F.col("doc_id").alias("hit")).distinct()
+        shared = docs.select("doc_id", every.alias("hash")).join(small(cut(shingles.select("hash").distinct()), BROADCAST_ROWS), "hash", "left_semi").select(F.col("doc_id").alias("hit")).distinct()
         some = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi")
     return cut(some.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
 
