@@ -21,6 +21,7 @@ from nearkin.runtime import new_folder, ship
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those with a null text or without a letter go."""
+    ship(spark)
     found = language_id.with_language(docs, language_id.fit(docs))
     kept = found.filter(F.col("lang_pred") != language_id.UND)
     return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
@@ -33,6 +34,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: the one with the smallest doc_id."""
+    ship(spark)
     return drop_near_copies(docs)
 
 
@@ -43,6 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mixture takes: doc_id, size, source_size, target and taken of every document."""
+    ship(spark)
     return mix_sources(docs).documents
 
 
@@ -53,7 +56,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = new_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):

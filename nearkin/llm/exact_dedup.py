@@ -82,21 +82,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     carry = carry or []
     buckets = min(MAX_BUCKETS, buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    # each column is shuffled once, under one name
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_c_{c}") for c in dict.fromkeys([id_col, text_col, *carry])])
+    ident, text = F.col(f"`_c_{id_col}`").alias("_id"), F.col(f"`_c_{text_col}`").alias("_text")
+    plain = own.select(ident, text)
     splitters = _splitters(plain, buckets, seed)
 
-    dealt = plain.withColumn("_bucket", _bucket(_order_key(normalised(F.col("_text")), F.col("_id")), splitters)).repartition("_bucket")
+    key = _order_key(normalised(F.col(f"`_c_{text_col}`")), F.col(f"`_c_{id_col}`"))
+    dealt = own.withColumn("_bucket", _bucket(key, splitters)).repartition("_bucket").withColumns({"_id": ident, "_text": text})
     rows = dealt.select(
-        "_bucket", "_id", F.char_length(F.coalesce("_text", F.lit(""))).cast("long").alias("_n"), normalised(F.col("_text")).alias("_norm"), *[f"_c_{c}" for c in carry]
+        "_bucket", "_id", F.char_length(F.coalesce("_text", F.lit(""))).cast("long").alias("_n"), normalised(F.col("_text")).alias("_norm"), *[f"`_c_{c}`" for c in carry]
     ).withColumns({"_prefix": F.substring("_norm", 1, PREFIX), "_hash": F.xxhash64("_norm")})
     order = [F.col("_prefix"), F.col("_hash"), F.col("_norm"), F.col("_n").desc(), F.col("_id").asc_nulls_last()]
     sort = Window.partitionBy("_bucket").orderBy(*order)
     before = F.lag("_norm").over(sort)
     compared = rows.select(
-        "_bucket", "_id", "_n", "_hash", "_norm", *[f"_c_{c}" for c in carry], F.row_number().over(sort).alias("_at"), (before.isNotNull() & (before == F.col("_norm"))).alias("_same")
+        "_bucket", "_id", "_n", "_hash", "_norm", *[f"`_c_{c}`" for c in carry], F.row_number().over(sort).alias("_at"), (before.isNotNull() & (before == F.col("_norm"))).alias("_same")
     )
     thin = compared.select(
-        "_bucket", "_id", "_n", "_hash", "_at", F.when(~F.col("_same"), F.col("_at")).alias("_start"), F.when(~F.col("_same"), F.sha2("_norm", 256)).alias("_sha"), *[f"_c_{c}" for c in carry]
+        "_bucket", "_id", "_n", "_hash", "_at", F.when(~F.col("_same"), F.col("_at")).alias("_start"), F.when(~F.col("_same"), F.sha2("_norm", 256)).alias("_sha"), *[f"`_c_{c}`" for c in carry]
     )
     running = Window.partitionBy("_bucket").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = thin.withColumns({c: F.last(c, ignorenulls=True).over(running) for c in ("_start", "_sha")} | {
@@ -113,7 +117,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("_all.size", "_size").alias("group_size"),
         (first & (F.col("_all").isNull() | (F.col("_n").eqNullSafe(F.col("_all.n")) & F.col("_id").eqNullSafe(F.col("_all.id"))))).alias("kept"),
         F.col("_sha").alias("text_sha256"),
-        *[f"_c_{c}" for c in carry],
+        *[f"`_c_{c}`" for c in carry],
     )
 
 
@@ -130,4 +134,4 @@ def _across(plain: DataFrame, splitters: list[str]) -> DataFrame:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all columns of ``docs``; the texts are shuffled once."""
     out = exact_dedup(docs, id_col, text_col, carry=docs.columns)
-    return out.filter("kept").select(*[F.col(f"_c_{c}").alias(c) for c in docs.columns])
+    return out.filter("kept").select(*[F.col(f"`_c_{c}`").alias(c) for c in docs.columns])
