@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT = 256
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 PIECE = 4000
 PAD, SPACE, OTHER = 0, 1, 2
 UND = "und"
@@ -95,22 +95,25 @@ class _Parser:
         for i in np.flatnonzero(alphabetic):
             if (code := own.get(chr(i).lower()[:1])) is not None:
                 self.codes[i] = code
-        tables, self.roots, at = [], [], 0
+        self.roots, at = [], 0
+        # an automaton has fewer than twice as many states as characters
+        full = np.empty((sum(max(1, 2 * len(t)) for t in model.texts), self.size), np.int32)
         self.norm = np.array([math.log2(max(2, len(t))) for t in model.texts])
         for text in model.texts:
             automaton = SuffixAutomaton(self.encode(text)[0].tolist())
             n = len(automaton.next)
             root = automaton.next[0]
             fresh = np.array([~((at + root.get(c, 0)) * self.size) for c in range(self.size)], np.int32)
-            table = np.repeat(fresh[None, :], n, axis=0)
+            table = full[at : at + n]
+            table[:] = fresh
             for s in range(1, n):
                 for c, to in automaton.next[s].items():
                     table[s, c] = (at + to) * self.size
             table[:, PAD] = at * self.size
-            tables.append(table)
             self.roots.append(at * self.size)
             at += n
-        self.table = np.concatenate(tables).reshape(-1)
+        # pages of the rest are never touched, so they take no memory
+        self.table = full[:at].reshape(-1)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Codes of a text with runs of non-letters as one SPACE, and where each kept character stood."""
