@@ -7,8 +7,9 @@ weighted shingle similarity: shingles count as often as they occur, and the simi
 of the smaller counts over the sum of the larger ones. A document is contaminated by an item if
 some window reaches ``similarity``.
 
-Only windows that can reach it are built: a window without a shingle of the item has similarity 0,
-so windows are those that lay a shared shingle over its place in the item. The radius is wide
+Only windows that can reach it are built: a shared shingle counts in the windows that hold it, unless
+they hold it as often as the item already, so sums over the ends of these ranges of starts give what
+each window shares with the item, in any order. Every start that shares enough is built. The radius is wide
 (24 of 64 bits): at similarity 0.8 fingerprints differ by ten bits on average, so that a true pair
 beyond it has a chance below one in a million; the exact check decides.
 
@@ -20,7 +21,7 @@ any other; empty tables give an empty result. Only the identifier and text colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.runtime import cut, small
@@ -97,9 +98,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     worded = hits.select("row", F.expr(WORDS).alias("words"))
     placed = worded.select("row", F.size("words").alias("n"), F.expr(f"inline(array({', '.join(f'struct({k} AS width, {_hashes("words", k)} AS hashes)' for k in widths)}))"))
-    anchors = placed.selectExpr("row", "n", "width", "posexplode(hashes) AS (place, hash)").join(small(shingles, BROADCAST_ROWS), ["hash", "width"])
-    start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("n") - F.col("length")))
-    starts = anchors.select("row", "item", "length", "width", start.alias("start")).distinct()
+    counted = shingles.groupBy("hash", "width", "item", "length").agg(F.count("*").cast("int").alias("c"))
+    anchors = placed.selectExpr("row", "n", "width", "posexplode(hashes) AS (place, hash)").join(small(cut(counted), BROADCAST_ROWS), ["hash", "width"])
+    starts = _starts(anchors, similarity)
 
     cases = " ".join(f"WHEN {k} THEN {_hashes('v', k)}" for k in range(1, WIDTH + 1))
     windows = starts.join(worded, "row").select("row", "item", "start", "width", F.expr("slice(words, start + 1, length)").alias("v"))
@@ -109,6 +110,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return _verified(near, hits, similarity)
 
 
+def _starts(anchors: DataFrame, similarity: float) -> DataFrame:
+    """(row, item, length, width, start) of the windows whose shared shingles reach ``similarity``.
+
+    A place of a shingle that the item has c times counts from the start after the c-th place before
+    it to the place itself: of equal shingles in a window, the first c count.
+    """
+    by = ["row", "item", "n", "length", "width"]
+    placed = anchors.repartition("row", "item").groupBy(*by, "hash", "c").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    last = "greatest(n - length, 0)"
+    spans = placed.selectExpr(*by, f"inline(transform(places, (p, i) -> struct(greatest(coalesce(get(places, i - c), -1) + 1, p - length + width, 0) AS lo, least(p, {last}) AS hi)))").filter("lo <= hi")
+    ends = spans.selectExpr(*by, "inline(array(struct(lo AS start, 1L AS d), struct(hi + 1 AS start, -1L AS d)))").groupBy(*by, "start").agg(F.sum("d").alias("d"))
+    order = Window.partitionBy("row", "item", "n", "length", "width").orderBy("start")
+    sums = ends.withColumns({"shared": F.sum("d").over(order), "until": F.lead("start").over(order)}).filter("shared > 0")
+    both = F.expr("least(n, length) + length - 2 * (width - 1)") - F.col("shared")
+    return sums.filter(F.col("shared") / both >= similarity).selectExpr("row", "item", "length", "width", "explode(sequence(start, until - 1)) AS start")
+
+
 def _near(windows: DataFrame, marked: DataFrame, radius: int) -> DataFrame:
     """Windows within the radius of their item, found by a common Hamming block; each comes once."""
     blocks = _blocks(radius)

@@ -319,6 +319,24 @@ def test_decontamination(spark, monkeypatch, inline):
     assert left.columns == frame.columns
 
 
+def test_decontamination_of_reordered_passages(spark):
+    """Windows that hold the item's shingles in another order, at a start that no shingle's place gives."""
+    rng = random.Random(21)
+    items, docs = [], []
+    for i, (n, moved) in enumerate([(60, 8), (60, 20), (80, 30), (100, 50), (120, 40)]):
+        w = [f"i{i}x{j}" for j in range(n)]
+        items.append((i, " ".join(w)))
+        for cut in (moved, n - moved):
+            noise = [f"n{rng.randrange(10**6)}" for _ in range(600)]
+            docs.append((len(docs), " ".join(noise[:300] + w[cut:] + w[:cut] + noise[300:])))
+            docs.append((len(docs), " ".join(w[cut:] + w[:cut] + w[: n // 2])))
+    items.append((9, " ".join(["x y z"] * 10 + [f"r{j}" for j in range(30)])))
+    docs += [(len(docs), " ".join([f"r{j}" for j in range(30)] + ["x y z"] * k)) for k in (8, 10, 13, 60)]
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], -r["start"]) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leaks_brute(docs, items)
+    assert got == want and {d for d, _ in want} >= {0, 2}
+
+
 def test_decontamination_edges(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, bench).collect() == []
