@@ -1,8 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-Some distinct pages of each host are parsed into DOM trees and aligned pairwise with one of them
-by simple tree matching (order-preserving, labels are tag, class and id). A text that most aligned
-pages have at the same node is template; the other text nodes are slots, whose texts are content.
+Every distinct page of a host is parsed. A text belongs to a node path (labels are tag, class and id).
+Of the pages that have a text at a path, if most have the same one there, it is template; the other
+texts are slots, whose texts are content. This is counted over all pages of the host and over those
+of each layout (pages with texts at the same set of paths), so that layouts that share a path do not
+hide each other's. Simple tree matching (``match``) only pairs nodes of the same path, so an equal
+text that it aligns is counted here too, whatever the size of the trees; no page is left out.
 The wrapper of a host is the set of its template texts, each with its node's path.
 
 Extraction parses every page whole and gives out its blocks (the text between block-level tags) in
@@ -12,9 +15,8 @@ or class. If the page marks an article (or main part), blocks outside it are lef
 headings, paragraphs, list items, quotes and table cells are content even if other pages have the
 same text.
 
-At most ``pages_per_host`` distinct pages of a host are used to induce its wrapper (those with the
-smallest digests); a host with fewer than three has none. Wrappers reach the pages by a join on
-the host.
+A path that fewer than three distinct pages have a text at has no template. Wrappers reach the pages
+by a join on the host.
 
 Defined results: a null html is empty and gives the empty text; a null or odd url has no host and
 no wrapper; repeated rows each get their row; broken markup (unclosed or cut tags) is read as far
@@ -25,12 +27,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,17 +69,17 @@ JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialo
 HEADER_WORDS = frozenset("header topbar".split())
 SHARE = 0.6
 LEAST_PAGES = 3
-#: Most rows (a host and a digest, or a wrapper for several of them) that may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Most wrappers that may be broadcast.
+BROADCAST_ROWS = 12_500
 
 
 class Node:
     """An element: its label, children and (for a text node, labelled #) text."""
 
-    __slots__ = ("children", "label", "size", "text")
+    __slots__ = ("children", "label", "text")
 
     def __init__(self, label: str, text: str | None = None) -> None:
-        self.label, self.text, self.children, self.size = label, text, [], 1
+        self.label, self.text, self.children = label, text, []
 
 
 def words_of(value: str) -> list[str]:
@@ -194,11 +194,6 @@ class Page:
         self.root = root
 
 
-def _measure(node: Node) -> int:
-    node.size = 1 + sum(_measure(c) for c in node.children)
-    return node.size
-
-
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the size of the largest order-preserving match of two trees, and its pairs."""
     if a.label != b.label:
@@ -232,30 +227,12 @@ def template_key(path: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\n{text}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def induce(htmls: list[str], nodes: int = 400) -> list[int]:
-    """The wrapper of same-host pages: keys of their template texts. The page of median size is aligned
-    with each other one; pages of more than ``nodes`` elements are left out, so an alignment is bounded."""
-    roots = [Page(h, tree=True).root for h in htmls]
-    roots = sorted((r for r in roots if _measure(r) <= nodes), key=lambda r: r.size)
-    if len(roots) < LEAST_PAGES:
-        return []
-    reference = roots.pop(len(roots) // 2)
-    same: Counter[int] = Counter()
-    for other in roots:
-        for a, b in match(reference, other)[1]:
-            if a.text is not None and a.text == b.text:
-                same[id(a)] += 1
-    out = set()
-
-    def visit(node: Node, path: str) -> None:
-        for child in node.children:
-            if child.text is None:
-                visit(child, f"{path}/{child.label}")
-            elif same[id(child)] >= SHARE * len(roots):
-                out.add(template_key(path, child.text))
-
-    visit(reference, "")
-    return sorted(out)
+def places(html: str) -> tuple[int, list[tuple[int, int | None]]]:
+    """The layout of a page, and its distinct (path, template key); each path also comes once with None."""
+    blocks = Page(html).blocks
+    paths = {path: template_key(path, "") for path, *_ in blocks}
+    found = {(paths[path], template_key(path, text)) for path, _, text, *_ in blocks}
+    return template_key("\n".join(sorted(paths)), ""), [*found, *((p, None) for p in paths.values())]
 
 
 def extract(html: str | None, template: frozenset[int] = frozenset()) -> str:
@@ -276,20 +253,28 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", pages_per_host: int = 8) -> DataFrame:
-    """(host, template): the wrapper of each host that has enough distinct pages."""
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, template): the wrapper of each host that has template texts, from all its distinct pages."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).filter("host <> ''")
-    rows = rows.withColumn("sha", F.sha2("html", 256))
-    first = Window.partitionBy("host").orderBy("sha")
-    # the limit on row_number also holds before the shuffle: a host costs a few thin rows per task
-    chosen = rows.select("host", "sha").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= pages_per_host)
-    texts = rows.join(small(cut(chosen.select("host", "sha")), BROADCAST_ROWS), ["host", "sha"]).groupBy("host", "sha").agg(F.first("html").alias("html"))
+    rows = rows.select("host", F.unhex(F.sha2("html", 256)).alias("sha"), "html")
+    kind = pa.list_(pa.struct([("path", pa.int64()), ("key", pa.int64())]))
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        found = induce(list(group.sort_values("sha")["html"]))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [found]})
-
-    return cut(texts.groupBy("host").applyInPandas(learn, "host string, template array<long>").filter("size(template) > 0"))
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [places(h) for h in batch.column(2).to_pylist()]
+            found = pa.array([[{"path": p, "key": k} for p, k in f] for _, f in read], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([layout for layout, _ in read], pa.int64()), found], names=["host", "sha", "layout", "found"])
+
+    parsed = rows.mapInArrow(parse, "host string, sha binary, layout long, found array<struct<path: long, key: long>>")
+    distinct = parsed.groupBy("host", "sha").agg(F.first("layout").alias("layout"), F.first("found").alias("found"))
+    counts = distinct.select("host", "layout", F.inline("found")).groupBy("host", "layout", "path", "key").agg(F.count("*").alias("n"))
+    # fewer than LEAST_PAGES pages decide nothing, neither in a layout nor in the host
+    of_layout = F.when(F.col("n") >= LEAST_PAGES, F.struct(F.col("layout"), F.col("n")))
+    both = counts.groupBy("host", "path", "key").agg(F.sum("n").alias("n"), F.collect_list(of_layout).alias("layouts")).filter(F.col("n") >= LEAST_PAGES)
+    each = both.select("host", "path", "key", F.inline(F.expr("concat(array(struct(CAST(NULL AS LONG) AS layout, n)), layouts)")))
+    there = F.max(F.when(F.col("key").isNull(), F.col("n"))).over(Window.partitionBy("host", "layout", "path"))
+    same = each.withColumn("there", there).filter(F.col("key").isNotNull() & (F.col("n") - 1 >= SHARE * (F.col("there") - 1)))
+    return cut(same.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("template")))
 
 
 @lru_cache(1024)
@@ -297,11 +282,11 @@ def _template(keys: tuple[int, ...]) -> frozenset[int]:
     return frozenset(keys)
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", pages_per_host: int = 8) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = wrappers(rows, "url", "html", pages_per_host)
-    joined = rows.withColumn("host", host_of(F.col("url"))).join(small(found, BROADCAST_ROWS // pages_per_host), "host", "left").select("page_id", "url", "html", "template")
+    found = wrappers(rows, "url", "html")
+    joined = rows.withColumn("host", host_of(F.col("url"))).join(small(found, BROADCAST_ROWS), "host", "left").select("page_id", "url", "html", "template")
     schema = rows.select("page_id", "url").withColumns({"text": F.lit("").cast("string"), "n_chars": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -239,6 +239,23 @@ def test_wrapper_induction(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_wrapper_induction_of_all_pages(spark):
+    """Two layouts in equal parts that share a path, a rare one, and pages of more than 400 nodes."""
+    rng = random.Random(6)
+    one = "<html><body><div><p>Welcome A</p></div><section><p>{}</p></section></body></html>"
+    two = "<html><body><div><p>Welcome B</p></div><table><tr><td>{}</td></tr></table><div class=legal><p>Imprint</p></div></body></html>"
+    rare = "<html><body><ul><li>Rare line</ul><section><p>{}</p></section></body></html>"
+    kinds = [one] * 20 + [two] * 20 + [rare] * 4
+    rows = [(i, "http://mixed.org/", k.format(prose(rng, "aa", 9))) for i, k in enumerate(kinds)]
+    large = "<html><body><div><p>Top</p>{}<p>End</p></div></body></html>"
+    texts = [[prose(rng, "bb", 9) for _ in range(rng.randrange(450, 500))] for _ in range(6)]
+    rows += [(100 + i, "http://large.org/", large.format("".join(f"<p>{t}</p>" for t in ts))) for i, ts in enumerate(texts)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, kind in enumerate(kinds):
+        assert got[i] == re.search("{}".join(map(re.escape, kind.split("{}"))).replace("{}", "(.*)"), rows[i][2])[1]
+    assert [got[100 + i] for i in range(6)] == ["\n".join(ts) for ts in texts]
+
+
 # Token counts
 
 @pytest.mark.parametrize("rule", ["start", "most"])
