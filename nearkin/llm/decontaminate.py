@@ -1,17 +1,15 @@
 """Benchmark decontamination (DataFrame and SQL functions only).
 
-Windows as long as a benchmark item slide over each document and get a SimHash of their five-word
-shingles, as the item does. Hamming blocks (one more than the radius) index the fingerprints: a
-window within the radius of its item agrees with it in some block. Candidates are verified by
+Windows as long as a benchmark item slide over each document. Windows that share enough five-word
+shingles with the item, by their hashes, are candidates. They are verified by
 weighted shingle similarity: shingles count as often as they occur, and the similarity is the sum
 of the smaller counts over the sum of the larger ones. A document is contaminated by an item if
 some window reaches ``similarity``.
 
 Only windows that can reach it are built: a shared shingle counts in the windows that hold it, unless
 they hold it as often as the item already, so sums over the ends of these ranges of starts give what
-each window shares with the item, in any order. Every start that shares enough is built. The radius is wide
-(24 of 64 bits): at similarity 0.8 fingerprints differ by ten bits on average, so that a true pair
-beyond it has a chance below one in a million; the exact check decides.
+each window shares with the item, in any order. Every start that shares enough is built, and the exact check decides. Fingerprints do not: a shingle
+that repeats weighs as often in a SimHash, so that pairs of similarity 0.8 can lie at any distance.
 
 Defined results: null texts have no words; a document with fewer words than an item is one window;
 items of fewer than five words are one shingle; items without a word match nothing; of repeated
@@ -28,7 +26,6 @@ from nearkin.runtime import cut, small
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 24
 #: Most shingle hashes of items that go into a plan as constants.
 INLINE = 20_000
 #: Most rows of a table that may be broadcast.
@@ -47,12 +44,6 @@ def _hashes(words: str, width: int) -> str:
     return f"flatten(transform(array({words}), w -> if(size(w) < {width}, array(), transform(sequence(0, size(w) - {width}), i -> {_hash_at(width)}))))"
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, mask) of each Hamming block."""
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return [(lo, (1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
-
-
 def _simhash(hashes: str) -> str:
     """A bit is set if more than half of the hashes have it; two 32-bit lanes are counted at once."""
     counts = f"transform(sequence(0, 31), k -> aggregate(h, 0L, (a, x) -> a + (shiftrightunsigned(x, k) & 4294967297L)))"
@@ -85,7 +76,7 @@ def _with_shingle(docs: DataFrame, shingles: DataFrame, widths: list[int], n: in
     return cut(some.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row per document and item whose similarity is reached: doc_id, item_id, similarity (the
     best), start (the window's first word, from 0; the first of equals) and n_words of the window."""
     items = _items(benchmark, item_col, item_text)
@@ -102,11 +93,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     anchors = placed.selectExpr("row", "n", "width", "posexplode(hashes) AS (place, hash)").join(small(cut(counted), BROADCAST_ROWS), ["hash", "width"])
     starts = _starts(anchors, similarity)
 
-    cases = " ".join(f"WHEN {k} THEN {_hashes('v', k)}" for k in range(1, WIDTH + 1))
     windows = starts.join(worded, "row").select("row", "item", "start", "width", F.expr("slice(words, start + 1, length)").alias("v"))
-    windows = windows.withColumn("fp", F.expr(_simhash(f"CASE width {cases} END")))
-    marked = items.select(F.col("item").alias("of"), "item_id", F.col("w").alias("iw"), F.expr(_simhash(f"CASE width {cases.replace('array(v)', 'array(w)')} END")).alias("ifp"))
-    near = _near(windows, marked, radius)
+    near = windows.join(small(items.select("item", "item_id", F.col("w").alias("iw")), BROADCAST_ROWS), "item")
     return _verified(near, hits, similarity)
 
 
@@ -127,21 +115,6 @@ def _starts(anchors: DataFrame, similarity: float) -> DataFrame:
     return sums.filter(F.col("shared") / both >= similarity).selectExpr("row", "item", "length", "width", "explode(sequence(start, until - 1)) AS start")
 
 
-def _near(windows: DataFrame, marked: DataFrame, radius: int) -> DataFrame:
-    """Windows within the radius of their item, found by a common Hamming block; each comes once."""
-    blocks = _blocks(radius)
-
-    def keyed(df: DataFrame, fp: str, key: str) -> DataFrame:
-        values = [F.struct(F.lit(b).alias(f"{key}b"), F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit(mask)).alias(f"{key}v")) for b, (lo, mask) in enumerate(blocks)]
-        return df.select("*", F.inline(F.array(*values)))
-
-    index = small(cut(keyed(marked, "ifp", "i")), BROADCAST_ROWS)
-    both = keyed(windows, "fp", "w").join(index, (F.col("item") == F.col("of")) & (F.col("wb") == F.col("ib")) & (F.col("wv") == F.col("iv")))
-    differ = F.col("fp").bitwiseXOR(F.col("ifp"))
-    first = F.coalesce(*[F.when(F.shiftrightunsigned(differ, lo).bitwiseAND(F.lit(mask)) == 0, F.lit(b)) for b, (lo, mask) in enumerate(blocks)])
-    return both.filter((F.bit_count(differ) <= radius) & (first == F.col("wb"))).select("row", "item", "item_id", "start", "width", "v", "iw")
-
-
 def _verified(near: DataFrame, hits: DataFrame, similarity: float) -> DataFrame:
     """The exact weighted similarity of each candidate; the best window of each document and item."""
     parts = "transform(sequence(0, greatest(size({0}) - width, 0)), i -> concat_ws(' ', slice({0}, i + 1, width)))"

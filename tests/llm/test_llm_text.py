@@ -354,6 +354,17 @@ def test_decontamination_of_reordered_passages(spark):
     assert got == want and {d for d, _ in want} >= {0, 2}
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    """Pairs whose fingerprints lie far apart, as a shingle that repeats weighs more than the shared ones."""
+    items, docs = [], []
+    for i in range(40):
+        w = [f"i{i}x{j}" for j in range(110)]
+        items.append((i, " ".join(w + [f"a{i}"] * 12)))
+        docs.append((i, " ".join(w + [f"b{i}"] * 12)))
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], -r["start"]) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == leaks_brute(docs, items) and len(got) == 40
+
+
 def test_decontamination_edges(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, bench).collect() == []
