@@ -76,7 +76,8 @@ def _streamed(rows: DataFrame, taken: DataFrame, strict: bool) -> DataFrame:
     families = rows.select("folder", "family").distinct()
     others = taken.join(families, ["folder", "family"], "left_semi").select("folder", "family", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("photo_idx"), F.col("path").alias("source"), F.lit("").alias("name"), F.lit(False).alias("undated"))
     own = rows.select("folder", "family", F.lit(1).alias("kind"), F.col("pos").cast("long"), F.col("photo_idx").cast("long"), "source", "name", "undated")
-    stream = own.unionByName(others).repartition("folder", "family").sortWithinPartitions("folder", "family", "kind", "pos", "photo_idx")
+    # by an expression: the planner takes a union's own columns for dealt already and drops the exchange
+    stream = own.unionByName(others).repartition(F.xxhash64("folder", "family")).sortWithinPartitions("folder", "family", "kind", "pos", "photo_idx")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, claimed, occupied, tried = None, set(), set(), {}

@@ -415,9 +415,16 @@ def organize_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(spark, sf_dir)
 
 
-@query("organize_counts", f"{PLAN_SQL} SELECT count(*) AS moves, count(*) FILTER (undated) AS undated, 0::BIGINT AS unchanged FROM plan")
+@query("organize_counts", f"""
+WITH r AS (SELECT o_orderkey % 7 = 0 AS there, o_orderstatus = 'P' AS undated FROM orders)
+SELECT count(*) FILTER (NOT there) AS moves, count(*) FILTER (undated) AS undated, count(*) FILTER (there) AS unchanged FROM r""")
 def organize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return organize.organise_counts(plan(spark, sf_dir))
+    """Photos whose number is divisible by seven are where the plan puts them."""
+    photos = order_photos(spark, sf_dir)
+    name = F.format_string("/IMG_%d.jpg", "photo_idx")
+    home = paths.destination_folder(F.lit("/photos/"), F.col("date.year"), F.col("date.month"))
+    photos = photos.withColumn("path", F.concat(F.when(F.col("photo_idx") % 7 == 0, home).otherwise("/dump"), name))
+    return organize.organise_counts(organize.organise_plan(photos, organize.selection_of(photos), "/photos/"))
 
 
 @query("organize_occupied", f"""{PLAN_SQL}

@@ -211,6 +211,23 @@ def test_organise_brute_force(spark, seed):
     assert len({d for d, _, _ in rows_of(plan)}) == len(photos)
 
 
+def test_organise_over_many_partitions(spark):
+    """A hot folder with every plain name occupied, dealt over many tasks."""
+    rng = random.Random(9)
+    spread = [(2020 + i % 3, 1 + i % 12, 1, 0, 0, 0) for i in range(30)]
+    photos = [(f"dump/{i % 5}/IMG_{rng.randrange(40)}.jpg", JULY if i % 3 == 0 else rng.choice(spread)) for i in range(6000)]
+    folders = {f"r/{d[0]:04d}/{d[0]:04d}-{d[1]:02d}" for _, d in photos}
+    occupied = {f"{f}/IMG_{k}.jpg" for f in folders for k in range(40)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert [d for d, _, _ in rows_of(plan_of(spark, photos, "r", sorted(occupied)))] == organise_brute(photos, "r", occupied)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_rewrite_and_selection(spark):
     photos = spark.createDataFrame([(0, "a", True), (1, "a", True), (2, "b", True), (3, "c", False)], "photo_idx long, path string, decoded boolean")
     moved = spark.createDataFrame([("a", "z/a", True), ("b", "z/b", False)], "source string, destination string, ok boolean")
