@@ -1,6 +1,7 @@
 """Language ID, toxicity, secrets, HTML, token counts and decontamination against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -78,29 +79,105 @@ def test_language_id_nothing_to_learn(spark):
 
 # Toxicity
 
+def arcs_of(words, learned=("grumf",)):
+    reader = toxicity.Reader(dict.fromkeys(learned, 1.0))
+    return Counter(n for symbols, _ in reader.clauses(words) for n in reader.machine.run(symbols)[1])
+
+
 def test_grammar():
-    m = toxicity.grammar()
-    out = lambda words: "".join(o for o in m.run(toxicity._symbols(words.split(), frozenset(["grumf"])))[0] if o in toxicity.PATTERNS)
-    assert out("what an idiot") == "i"
-    assert out("you idiot") == "I"
-    assert out("you are not an idiot") == "x"
-    assert out("they said idiot") == "q"
-    assert out("kill the lights") == ""
-    assert out("i will kill you") == "t"
-    assert out("grumf") == "l" and out("you grumf") == "L"
-    assert out("not the best of all such long idiot") == "i"
+    out = lambda words: dict(arcs_of(words))
+    assert out("what an idiot") == out("idiot idiot idiot") == {"insult": 1}
+    assert out("you idiot") == {"insult": 1, "directed": 1}
+    assert out("you are not an idiot") == {"insult": 1, "negated": 1}
+    assert out("they said idiot") == {"insult": 1, "reported": 1}
+    assert out("kill the lights") == out("a calm day") == {}
+    assert out("i will kill you") == {"threat": 1}
+    assert out("i will not kill you") == {}
+    assert out("grumf") == {} and out("you grumf") == {"directed": 1}
+    assert out("not the best of all such long idiot") == {"insult": 1}
+    assert out("you. idiot") == {"insult": 1}
 
 
 def test_composition_is_application():
     rng = random.Random(2)
-    a = toxicity.Transducer({(q, s): ((q + k) % 3, "xyz"[(q * k) % 3], 0.5) for q in range(3) for k, s in enumerate("abc")})
-    b = toxicity.Transducer({(q, s): ((q + k) % 2, "pqr"[(q + k) % 3], 0.25) for q in range(2) for k, s in enumerate("xyz")})
-    both = a.then(b)
+    a = toxicity.Transducer({(q, s): ((q + k) % 3, "xyz"[(q * k) % 3], (f"a{q}",) * k) for q in range(3) for k, s in enumerate("abc")})
+    b = toxicity.Transducer({(q, s): ((q + k) % 2, "pqr"[(q + k) % 3], (f"b{k}",) * q) for q in range(2) for k, s in enumerate("xyz")})
+    both, weights = a.then(b), {"a0": 0.5, "a1": 2.0, "a2": -1.0, "b0": 4.0, "b1": 8.0, "b2": 16.0}
+    machine = both.weighted(weights)
     for _ in range(50):
         w = "".join(rng.choice("abc") for _ in range(9))
         middle, x = a.run(w)
         end, y = b.run(middle)
-        assert both.run(w) == (end, x + y)
+        got, names = both.run(w)
+        assert got == end and sorted(names) == sorted(x + y)
+        state, total = 0, 0.0
+        for s in w:
+            state, v = machine[state, s]
+            total += v
+        assert total == sum(weights[n] for n in x + y)
+
+
+def toxicity_brute(text, model):
+    """The rules as they are told, a clause at a time, without transducers."""
+    weight, found = dict(zip(("bias", *toxicity.ARCS), model.weights, strict=True)), []
+    for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+        words = [m[0] for m in re.finditer(r"[^\W\d_]+(?:['’][^\W\d_]+)*", clause)]
+        words = [w for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
+        total, reach, said, waits, target = 0.0, 0, False, False, False
+        for w in words:
+            hit = w in toxicity.INSULTS or w in model.words
+            threat = not hit and w in toxicity.THREATS
+            if hit:
+                total += weight["insult"] if w in toxicity.INSULTS else weight["learned"] * model.words[w]
+            blocked = None
+            if not hit and not threat and w not in toxicity.TARGETS and (w in toxicity.NEGATIONS or w.endswith("n't")):
+                reach = 3
+                continue
+            if (hit or threat) and reach:
+                blocked = "negated"
+            reach = max(0, reach - 1)
+            if blocked is None and (hit or threat) and said:
+                blocked = "reported"
+            if not hit and not threat and w not in toxicity.TARGETS and w in toxicity.REPORTS:
+                said = True
+            if blocked and hit:
+                total += weight[blocked]
+            if threat and not blocked:
+                waits = True
+            if w in toxicity.TARGETS and not hit and not threat:
+                if waits:
+                    total += weight["threat"]
+                    waits = False
+                target = True
+            if hit and not blocked and target:
+                total += weight["directed"]
+        if total:
+            found.append(total)
+    logit = weight["bias"] + sum(x / (k + 1) for k, x in enumerate(sorted(found)[::-1]))
+    return 1 / (1 + math.exp(-min(30, max(-30, logit))))
+
+
+def test_toxicity_scores_brute_force(spark):
+    rng = random.Random(31)
+    pool = "idiot moron grumf zark kill burn you they not isn't said wrote day house Fool tree . ! ; one two".split()
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(300)] + [None, "", "not an idiot " * 5000]
+    model = toxicity.ToxicityModel({"grumf": 1.25, "zark": 2.5}, (-2.0, 1.5, 0.75, -1.25, -0.5, 2.25, 0.625))
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, "you fool", 1), (7, texts[7], 1)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, score int"), model).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] == 7 for r in got) == 2
+    for r in got:
+        text = "you fool" if r["doc_id"] is None else texts[r["doc_id"]]
+        assert abs(r["score"] - toxicity_brute(text, model)) < 1e-9, text
+
+
+def test_toxicity_learns_weights_of_arcs():
+    """Negated insults are harmless in these texts and directed ones are not: the arcs say so."""
+    one = lambda **k: Counter({tuple(float(k.get(a, 0)) for a in toxicity.ARCS): 1})
+    rows = [(one(insult=1, directed=1), 1)] * 80 + [(one(insult=1, negated=1), 0)] * 80 + [(one(insult=1), 1)] * 40 + [(one(learned=2), 0)] * 40 + [(Counter(), 0)] * 300
+    prior = np.array([toxicity.PRIOR["bias"], *(toxicity.PRIOR[a] for a in toxicity.ARCS)])
+    w = dict(zip(("bias", *toxicity.ARCS), toxicity._weights(rows, prior), strict=True))
+    assert w["bias"] + w["insult"] > 0 and w["bias"] + w["insult"] + w["negated"] < 0 and w["directed"] > 0
+    assert w["bias"] + 2 * w["learned"] < 0 and w["learned"] < toxicity.PRIOR["learned"]
 
 
 def test_toxicity(spark):
