@@ -72,29 +72,63 @@ r AS (
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM r
 """
 
-#: Shingles of five words; items of the table have at least five words.
+
+#: Shingles of five words, of all windows (one without a shingle of the item has similarity 0);
+#: items of the table have at least five words.
 OP4_SQL = r"""
-WITH iw AS (
-  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
-ish AS (
-  SELECT item_id, len(w) AS l, q, array_to_string(w[q : q + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS q FROM iw)),
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+ic AS (
+  SELECT item_id, l, s, count(*) AS c FROM (
+    SELECT item_id, len(w) AS l, array_to_string(w[q : q + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS q FROM iw))
+  GROUP BY ALL),
 dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-dsh AS (
-  SELECT doc_id, len(w) AS n, p, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS p FROM dw)),
-st AS (SELECT DISTINCT doc_id, item_id, n, l, greatest(0, least(p - q, n - l)) AS start FROM dsh JOIN ish USING (s)),
+dsh AS (SELECT doc_id, len(w) AS n, p - 1 AS place, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS p FROM dw)),
 win AS (
-  SELECT st.doc_id, item_id, start, st.n, l, d.s, count(*) AS c FROM st JOIN dsh d ON d.doc_id = st.doc_id AND d.p BETWEEN start + 1 AND start + l - 4
-  GROUP BY ALL),
-ic AS (SELECT item_id, s, count(*) AS c FROM ish GROUP BY ALL),
-m AS (SELECT item_id, sum(c) AS m FROM ic GROUP BY ALL),
-pair AS (
-  SELECT doc_id, item_id, start, n, l, sum(win.c) AS mw, sum(least(win.c, coalesce(ic.c, 0))) AS i
-  FROM win LEFT JOIN ic USING (item_id, s) GROUP BY ALL),
-scored AS (SELECT *, i / (mw + m - i) AS similarity, least(l, n - start) AS n_words FROM pair JOIN m USING (item_id))
+  SELECT doc_id, item_id, n, l, s, c, unnest(range(greatest(0, place - l + 5), least(place, greatest(0, n - l)) + 1)) AS start
+  FROM dsh JOIN ic USING (s)),
+shared AS (SELECT doc_id, item_id, n, l, start, least(count(*), c) AS x FROM win GROUP BY doc_id, item_id, n, l, start, s, c),
+scored AS (
+  SELECT doc_id, item_id, start, least(l, n - start) AS n_words, sum(x) / (least(n, l) + l - 8 - sum(x)) AS similarity
+  FROM shared GROUP BY doc_id, item_id, n, l, start)
 SELECT doc_id, item_id, similarity, start, n_words FROM scored WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
 
+
+def _spans_sql(kind: str) -> str:
+    """The spans of a kind: matches and the gaps between them add up to their places."""
+    pattern = secrets.COMPILED[kind].pattern.replace("'", "''")
+    value = f"regexp_extract(m, '{pattern}', 1)" if kind == "assign" else "m"
+    skip = "CASE WHEN regexp_matches(m, '^eyJ') THEN 0 ELSE 1 END" if kind == "jwt" else "0"
+    hint = " OR ".join(f"contains(t, '{h}')" for h in secrets.HINT.get(kind, ("",)))
+    return f"""
+SELECT doc_id, '{kind}' AS kind, {secrets.KINDS.index(kind)} AS k, start + {skip} AS start, start + length(m) AS stop FROM (
+  SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda j: list_sum(list_transform(gaps[:j], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:j - 1], lambda x: length(x))), 0))) AS start
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM (SELECT * FROM d WHERE {hint}) WHERE regexp_matches(t, '{pattern}')))
+WHERE length({value}) >= {secrets.LEAST.get(kind, 0)}"""
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_spans_sql(k) for k in secrets.KINDS)}),
+f AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(concat(kind, ':', start::BIGINT, ':', stop::BIGINT), ',' ORDER BY start, k) FILTER (k < {len(secrets.BASE)}) AS base,
+         string_agg(concat(kind, ':', start::BIGINT, ':', stop::BIGINT), ',' ORDER BY start, k) AS spans
+  FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+#: Base 32 from the hexadecimal digest: five digits are four letters.
+OP8_SQL = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+c AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> (15 - 5 * j)::INT) % 32 + 1, 1), '' ORDER BY i, j) AS digest
+      FROM (SELECT page_id, i, ('0x' || substr(sha, 5 * i + 1, 5))::INT AS v FROM d, range(8) t(i)), range(4) u(j) GROUP BY page_id),
+r AS (SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM d JOIN c USING (page_id))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -111,4 +145,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op4_decontamination": OP4_SQL,
+    "op6_secrets": OP6_SQL,
+    "op8_warc": OP8_SQL,
 }

@@ -3,15 +3,21 @@
 Every text version is content-addressed (SHA-256). The ledger holds the (blob, rule version) pairs
 that have been scanned, and their findings. A scan addresses all rows, takes the pairs that the
 ledger lacks, scans one copy of each such blob whole, appends to the ledger and joins the findings
-back to every path (row) that has the blob.
+back to every path (row) that has the blob. A ledger that is named also keeps which blobs each path
+has had, so ``history`` joins findings back to all paths and versions that any scan has seen.
 
 Texts are reduced to one copy per blob before and after the shuffle (partial aggregation), so a
 text with very many copies costs a row per task; findings are joined back by digest, a thin join
 whose skew adaptive execution splits.
 
-Defined results: a null text is the empty blob; repeated rows each get their row; a null
-identifier is kept; an empty table gives an empty result. Only the identifier and text columns are
-read. Spans are in code points, ends exclusive.
+Scans that run at once, or a repeated task, may append a blob twice; the findings of a blob under a
+rule version are a function of both, so readers take one row per blob. Every rule is read in time linear
+in the text, however it is made up.
+
+Defined results: a null text is the empty blob; texts are scanned whole, however long; repeated rows
+each get their row; a null identifier is kept; an empty table gives an empty result. Only the
+identifier and text columns are read, so others may have any name. Spans are in code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -22,44 +28,56 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearkin.runtime import new_folder
 
-ASSIGN = re.compile(
-    r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
-    r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-)
-ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]{16,}")
-
-#: Base kinds in their listed order, then those that the method adds.
-KINDS = ("assign", "access", "hex", "github", "slack", "jwt", "pem", "url")
+#: The base kinds, their patterns and least lengths (of the value, for assign).
+BASE = {
+    "assign": r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+    r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+}
+LEAST = {"assign": 12, "access": 18, "hex": 16}
+#: Kinds that the method adds. A pattern with a group means its span, else the whole match.
 MORE = {
-    "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
-    "url": re.compile(r"[a-z][a-z0-9+.-]{1,30}://[^\s/:@]{1,100}:([^\s/:@]{4,100})@"),
+    "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
+    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    # from the start of a run of these letters only, so that no run is read again from each of its places
+    "jwt": r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})",
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[ \t\r]*\n(?:[A-Za-z][A-Za-z-]*: [^\n]*\n)*[A-Za-z0-9+/= \t\r\n]+-----END [A-Z ]*PRIVATE KEY-----",
+    "url": r"[a-z][a-z0-9+.-]{1,30}://[^ \t\r\n\f\x0b/:@]{1,100}:[^ \t\r\n\f\x0b/:@]{4,}@",
 }
-#: What each added kind needs to be in a text at all.
-HINT = {"github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack": ("xox",), "jwt": ("eyJ",), "pem": ("-----BEGIN",), "url": ("://",)}
-#: Changes with the rules.
-RULES = hashlib.sha256(repr([ASSIGN.pattern, ACCESS.pattern, HEX.pattern, sorted((k, v.pattern) for k, v in MORE.items())]).encode()).hexdigest()[:16]
+#: What each kind needs to be in a text at all; kinds without an entry are always looked for.
+HINT = {"access": ("AKIA",), "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack": ("xox",), "jwt": ("eyJ",), "pem": ("-----BEGIN",), "url": ("://",)}
+KINDS = (*BASE, *MORE)
+COMPILED = {k: re.compile(v) for k, v in (BASE | MORE).items()}
+# a run of hex letters is either long enough or not: the same matches
+COMPILED["hex"] = re.compile(rf"[0-9a-f]{{{LEAST['hex']},}}")
+
+
+def rule_version(*rules: object) -> str:
+    """Changes with anything that decides on findings."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+RULES = rule_version(list(BASE.items()), list(LEAST.items()), list(MORE.items()), list(HINT.items()), KINDS)
 
 FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end) of the base spans and of all spans, in order."""
-    base = []
-    # a finditer match is consumed whether or not it is long enough
-    base += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
-    if "AKIA" in text:
-        base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    more = [(m.start(), KINDS.index(kind), m.end()) for kind, rule in MORE.items() if any(h in text for h in HINT[kind]) for m in rule.finditer(text)]
+    base, more = [], []
+    for k, kind in enumerate(KINDS):
+        if any(h in text for h in HINT.get(kind, ("",))):
+            group = 1 if kind == "jwt" else 0
+            value = 1 if kind == "assign" else 0
+            # a match is consumed whether or not it is long enough
+            found = [(m.start(group), k, m.end(group)) for m in COMPILED[kind].finditer(text) if m.end(value) - m.start(value) >= LEAST.get(kind, 0)]
+            (base if kind in BASE else more).extend(found)
     return sorted(base), sorted(base + more)
 
 
@@ -78,23 +96,39 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [findings(t) for t in batch.column(1).to_pylist()]
         counts = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
         texts = [pa.array([r[i] for r in rows], pa.string()) for i in (3, 4)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *texts], names=["blob", *(x.split()[0] for x in FOUND.split(", "))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *texts], names=["blob", *NAMES])
 
 
-def ledger(spark, folder: str, rules: str = RULES) -> DataFrame:
-    """Scanned blobs of a rule version with their findings; empty if there is no ledger yet."""
+NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def _stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """A table of the ledger; empty if there is none yet."""
     try:
-        return spark.read.schema(f"blob string, {FOUND}").parquet(f"{folder}/rules={rules}")
+        return spark.read.schema(schema).parquet(folder)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], f"blob string, {FOUND}")
+        return spark.createDataFrame([], schema)
+
+
+def ledger(spark: SparkSession, folder: str, rules: str = RULES) -> DataFrame:
+    """Scanned blobs of a rule version with their findings, a row per blob; empty if there is no ledger yet."""
+    return _stored(spark, f"{folder}/rules={rules}", f"blob string, {FOUND}").dropDuplicates(["blob"])
+
+
+def history(spark: SparkSession, folder: str, path_type: str = "long", rules: str = RULES) -> DataFrame:
+    """(doc_id, blob, findings) of every path and version that scans with this ledger have seen, as
+    far as they were scanned under the rule version."""
+    seen = _stored(spark, f"{folder}/versions", f"doc_id {path_type}, blob string").distinct()
+    return seen.join(ledger(spark, folder, rules), "blob").select("doc_id", "blob", *NAMES)
 
 
 def scan(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the findings of its text; scanned blobs are added to the ledger at ``folder``
-    (by default a new one in the shared folder)."""
+    """doc_id and the findings of its text; scanned blobs are added to the ledger at ``folder``, and
+    the versions to its table of paths (by default a new ledger in the shared folder, without that table)."""
     spark = docs.sparkSession
+    lasting = folder is not None
     folder = folder or new_folder(spark, "ledger")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     known = ledger(spark, folder)
@@ -102,4 +136,9 @@ def scan(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", tex
     once = rows.groupBy("blob").agg(F.first("text").alias("text"))
     unseen = once.join(known.select("blob"), "blob", "left_anti").select("blob", "text")
     unseen.mapInArrow(_scan, f"blob string, {FOUND}").write.mode("append").parquet(f"{folder}/rules={RULES}")
-    return rows.select("doc_id", "blob").join(ledger(spark, folder), "blob").select("doc_id", *(x.split()[0] for x in FOUND.split(", ")))
+    if lasting:
+        paths = rows.select("doc_id", "blob").distinct()
+        old = _stored(spark, f"{folder}/versions", paths.schema.simpleString()[7:-1].replace(":", " "))
+        new = paths.join(old, paths["doc_id"].eqNullSafe(old["doc_id"]) & (paths["blob"] == old["blob"]), "left_anti")
+        new.write.mode("append").parquet(f"{folder}/versions")
+    return rows.select("doc_id", "blob").join(ledger(spark, folder), "blob").select("doc_id", *NAMES)

@@ -82,9 +82,9 @@ def test_sql_matches(spark):
     import duckdb
 
     folder, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    for name in ("op1_exact_dedup", "op4_decontamination"):
+    for name in ("op1_exact_dedup", "op4_decontamination", "op6_secrets", "op8_warc"):
         got = __spark_entry__.queries()[name](spark, folder)
         want = con.sql(__spark_entry__.oracle_sql()[name])
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
