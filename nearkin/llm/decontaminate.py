@@ -19,7 +19,7 @@ any other; empty tables give an empty result. Only the identifier and text colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.runtime import cut, small
@@ -126,7 +126,18 @@ def _verified(near: DataFrame, hits: DataFrame, similarity: float) -> DataFrame:
     return best.select("doc_id", "item_id", "m.similarity", (-F.col("m.back")).cast("long").alias("start"), F.col("m.n").cast("long").alias("n_words"))
 
 
+def _same(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that some item contaminates."""
-    found = cut(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(small(found, BROADCAST_ROWS), docs[f"`{id_col}`"].eqNullSafe(F.col("_hit")), "left_anti")
+    """``docs`` without the documents that some item contaminates; columns may have any name.
+
+    Rows are named by identifier and text together, so an identifier that stands for several texts
+    loses only the contaminated ones.
+    """
+    named = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), _same(text_col).alias("same")).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = cut(contaminated(named, benchmark, **options).select("doc_id.id", "doc_id.same").distinct())
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(f"`{id_col}`").alias("_id"), _same(text_col).alias("_same"))
+    out = plain.join(small(found, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_same") == F.col("same")), "left_anti")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

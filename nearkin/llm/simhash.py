@@ -14,9 +14,10 @@ bucket, which again cover every pair; the positions left free about halve each r
 end with small buckets. Components come from ``connected_components``.
 
 Defined results: a null text is empty; a text without words has fingerprint zero and is linked
-like any other; documents with a null identifier are linked but lend no component_id; repeated
-rows keep their own row; an empty table gives an empty result. Only the identifier and text
-columns are read.
+like any other; texts are read whole, however long; documents with a null identifier are linked but
+lend no component_id (null if a component has no other); ties go to the smallest identifier; repeated
+rows keep their own row; an empty table gives an empty result. Only the identifier and text columns
+are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -89,15 +90,20 @@ def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
-    schema = docs.select(F.col(id_col).alias("doc_id")).withColumn("fp", F.lit(0).cast("long")).schema
+    """(doc_id, same, fp): the fingerprint as a signed 64-bit number; ``same`` is a hash of the text, so
+    that rows of one identifier with different texts can be told apart."""
+    schema = docs.select(F.col(f"`{id_col}`").alias("doc_id")).withColumns({"same": F.lit(0).cast("long"), "fp": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = fingerprints(batch.column(1).to_pylist(), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = fingerprints(batch.column(2).to_pylist(), width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "same", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text_col).alias("same"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
 def covering_masks(radius: int, seed: int) -> list[int]:
@@ -198,29 +204,47 @@ def near_links(distinct: DataFrame, radius: int = 3, dense: int = 1024, seed: in
         round_ += 1
 
 
+def _rooted(prints: DataFrame, radius: int, dense: int) -> DataFrame:
+    """(fp, best, root): each distinct fingerprint with its first document, and that of its component."""
+    # null identifiers come last
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
+    classes = prints.groupBy("fp").agg(F.min(first).alias("best"), F.min("doc_id").alias("least"))
+    comps = connected_components(near_links(classes.select("fp"), radius, dense))
+    return classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "best", "least", F.coalesce("component", "fp").alias("root"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, dense: int = 1024) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = cut(fingerprint_table(docs, id_col, text_col, width))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comps = connected_components(near_links(classes, radius, dense))
-    rooted = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = _rooted(prints, radius, dense)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest identifier, and of
-    repeated rows of that any one. Rows with a null identifier cannot be named and stay.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, dense: int = 1024) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest identifier (null
+    identifiers last), and of repeated rows any one.
 
-    Only identifiers of dropped documents meet the texts again: by broadcast if they are few.
+    Rows are named by identifier and text together, so an identifier that stands for several texts
+    loses only those that it should. Only these names of dropped documents meet the texts again: by
+    broadcast if they are few. Columns may have any name.
     """
-    prints = near_dedup(docs, id_col, text_col, width, radius).filter("doc_id IS NOT NULL")
-    lost = cut(prints.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct())
-    left = docs.join(small(lost, BROADCAST_ROWS), F.col(f"`{id_col}`") == F.col("_lost"), "left_anti")
-    again = cut(prints.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
-    if again.isEmpty():
-        return left
-    repeated = F.col(f"`{id_col}`") == F.col("_again")
-    rest = left.join(small(again, BROADCAST_ROWS), repeated, "left_anti")
-    return rest.unionByName(left.join(small(again, BROADCAST_ROWS), repeated, "left_semi").dropDuplicates([id_col]))
+    prints = cut(fingerprint_table(docs, id_col, text_col, width))
+    rooted = _rooted(prints, radius, dense)
+    best = rooted.groupBy("root").agg(F.min("best").alias("keep"))
+    keeps = rooted.select("fp", "root").join(best, "root").select("fp", F.col("keep.doc_id").alias("keep_id"), F.col("keep.same").alias("keep_same"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("same") == F.col("keep_same"))
+    decided = prints.join(keeps, "fp").select("doc_id", "same", stays.alias("stays"))
+    named = cut(decided.groupBy("doc_id", "same", "stays").agg(F.count(F.lit(1)).alias("n")).filter("NOT stays OR n > 1"))
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(f"`{id_col}`").alias("_id"), text_hash(text_col).alias("_same"))
+
+    def of(names: DataFrame, how: str) -> DataFrame:
+        on = plain["_id"].eqNullSafe(names["doc_id"]) & (plain["_same"] == names["same"])
+        return plain.join(small(names, BROADCAST_ROWS), on, how)
+
+    out = of(named.select("doc_id", "same"), "left_anti")
+    again = named.filter("stays").select("doc_id", "same")
+    if not again.isEmpty():
+        out = out.unionByName(of(again, "left_semi").dropDuplicates(["_id", "_same"]))
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

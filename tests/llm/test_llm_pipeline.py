@@ -70,6 +70,32 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_stages_with_clashing_names(spark):
+    """Extra columns named like those that the operators use, repeated identifiers and null ones."""
+    names = ["_lost", "_again", "_hit", "_id", "_same", "_c0", "same", "fp", "id", "stays", "n", "item", "row", "keep_id", "lang_pred", "score", "_key", "kept"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    rng = random.Random(3)
+    a, b, c, leak = (prose(rng, "aa", n) for n in (900, 900, 60, 60))
+    near = lambda t: t + " ba"
+    texts = [(5, a), (7, near(a)), (5, b), (2, near(b)), (None, c), (None, c), (9, leak), (9, prose(rng, "bb", 60)), (11, "solo " * 30), (11, "solo " * 30)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 1, *range(len(names))) for i, t in texts], schema)
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    from nearkin.llm import decontaminate, simhash
+
+    prints = {t: simhash_brute(t) for _, t in texts}
+    assert (prints[a] ^ prints[near(a)]).bit_count() <= 3 and (prints[b] ^ prints[near(b)]).bit_count() <= 3
+    left = simhash.drop_near_copies(docs)
+    assert left.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr)
+    assert kept == sorted([(5, a), (2, near(b)), (None, c), (9, leak), (9, texts[7][1]), (11, "solo " * 30)], key=repr)
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and clean.first()["_lost"] == 0
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in clean.collect()) == sorted((i or 0, t) for i, t in texts if t != leak)
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() > 0
+
+
 def test_registry():
     names = __spark_entry__.queries()
     for n in range(1, 11):
