@@ -3,8 +3,9 @@
 Each round runs a large-star and a small-star step: every neighbour of a node is linked to the
 smallest node around it. The number of rounds grows with the logarithm of the longest path. A
 step takes minima by ``groupBy`` (partial aggregation, so a hub costs one row per task) and joins
-them back to the edges; a hub's rows are split by the skew handling of adaptive execution. Each
-round is cut at the shared folder, so lost executors cost one round.
+them back to the edges. Nodes with more than ``HUB`` edges, or than a hundred-thousandth of all
+edges, are joined by broadcast, so no task gets all edges of a hub: there are at most a hundred
+thousand of them by count. Each round is cut at the shared folder, so lost executors cost one round.
 """
 
 from __future__ import annotations
@@ -15,15 +16,29 @@ from pyspark.sql import functions as F
 from nearkin.runtime import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges from which a node may be a hub; most hubs there can be.
+HUB, MOST_HUBS = 10_000, 100_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, node: str, hub: int | None) -> DataFrame:
+    """``edges`` with the minimum ``m`` of their node. ``least``: (node, m, n), n being its edges."""
+    if hub is None:
+        return edges.join(least.drop("n"), node)
+    # their edges add up to no more than all, so there are at most MOST_HUBS
+    hubs = F.broadcast(cut(least.filter(F.col("n") > hub).drop("n")))
+    rest = edges.join(hubs, node, "left_anti").join(least.filter(F.col("n") <= hub).drop("n"), node)
+    return edges.join(hubs, node).unionByName(rest)
+
+
+def _large_star(edges: DataFrame, hub: int | None = None) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both.filter("b > a"), least, "a", hub).select(F.col("m").alias("a"), "b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+def _small_star(edges: DataFrame, hub: int | None = None) -> DataFrame:
+    least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(edges, least, "b", hub).filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
@@ -43,7 +58,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = start.filter("a < b")
     state = _state(now)
     while state[0]:
-        now = cut(_small_star(_large_star(now)))
+        # both directions count; a table of few edges has no hub
+        hub = max(HUB, 2 * state[0] // MOST_HUBS) if 2 * state[0] > HUB else None
+        now = cut(_small_star(_large_star(now, hub), hub))
         new = _state(now)
         if new == state:
             break

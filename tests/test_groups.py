@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearkin.operators import keeper, neardup, organize
+from nearkin.operators import components, keeper, neardup, organize
 from nearkin.operators.components import connected_components
 from nearkin.plans import actions, library
 from nearkin.sources import images
@@ -116,9 +116,13 @@ def test_hot_hash_makes_no_pairs(spark):
     assert stats["comparisons"] >= 6667 * 6666 // 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [10_000, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
+    monkeypatch.setattr(components, "MOST_HUBS", 10**6)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(200)] + [(7, 7), (5000, 5000), (None, 3)]
+    edges += [(3, 7000 + i) for i in range(60)] + [(7100 + i, 9000) for i in range(60)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     label = {}
 
