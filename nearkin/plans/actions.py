@@ -54,6 +54,11 @@ def move_to_trash(plan: DataFrame, confirm: bool = False) -> DataFrame:
     return plan.sparkSession.createDataFrame(done, "photo_idx long, source string, ok boolean")
 
 
+def move_counts(results: DataFrame) -> DataFrame:
+    """(moved, failed) of what ``apply_moves`` or ``move_to_trash`` gave."""
+    return results.agg(F.count_if("ok").alias("moved"), F.count_if(~F.col("ok")).alias("failed"))
+
+
 def failure_text(results: DataFrame) -> DataFrame:
     """One row: how many failed, and the first ten names of those, a line each."""
     failed = results.filter("NOT ok")

@@ -68,14 +68,23 @@ def progress_due(done: int, total: int) -> bool:
     return done == total or done % max(1, total // PROGRESS_STEPS) == 0
 
 
+#: Tags of scans that run now; a second scan with one of them is refused.
+_running: set[str] = set()
+
+
 @contextmanager
 def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
-    """Jobs that start within carry ``tag``; ``cancel`` stops them from another thread."""
+    """Jobs that start within carry ``tag``; ``cancel`` stops them from another thread. A scan whose
+    tag still runs raises a ValueError."""
+    if tag in _running:
+        raise ValueError(f"a scan with the tag {tag!r} is running")
+    _running.add(tag)
     spark.sparkContext.addJobTag(tag)
     try:
         yield
     finally:
         spark.sparkContext.removeJobTag(tag)
+        _running.discard(tag)
 
 
 def cancel(spark: SparkSession, tag: str) -> None:

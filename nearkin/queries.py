@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nearkin.functions import bits, exif, paths, raster
 from nearkin.functions.signature import TOKENS, text_signatures
-from nearkin.operators import keeper, neardup, organize
+from nearkin.operators import keeper, neardup, organize, ranks
 from nearkin.plans import actions
 from nearkin.plans.library import ScanResult, scan_photos
 from nearkin.runtime import cut, ship
@@ -470,3 +470,15 @@ SELECT count(*) AS failures, (SELECT string_agg(source, chr(10) ORDER BY source)
 def failure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.format_string("/dump/%d.jpg", "o_orderkey").alias("source"), (F.col("o_orderkey") % 7 != 0).alias("ok"))
     return actions.failure_text(rows)
+
+
+@query("move_counts", "SELECT count(*) FILTER (o_orderkey % 7 <> 0) AS moved, count(*) FILTER (o_orderkey % 7 = 0) AS failed FROM orders")
+def move_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions.move_counts(table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7 != 0).alias("ok")))
+
+
+@query("path_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_comment, o_orderkey) - 1 AS photo_idx FROM (SELECT o_orderkey, o_orderpriority || '/' || o_orderkey AS o_comment FROM orders)")
+def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos are numbered in the order of their paths."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("/", "o_orderpriority", "o_orderkey").alias("path"))
+    return ranks.numbered(rows, F.col("path").asc(), "photo_idx").select("o_orderkey", "photo_idx")

@@ -16,10 +16,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from nearkin.functions.exif import DATE_TYPE, PREFIX_BYTES, exif_date, read_orientation
+from nearkin.functions.exif import DATE_TYPE, PARTS, PREFIX_BYTES, exif_date, read_date, read_orientation
 from nearkin.functions.paths import PHOTO_EXTENSIONS, has_photo_extension
 from nearkin.functions.raster import np_box_downscale, np_difference_hash, np_laplacian_variance
+from nearkin.operators.ranks import numbered
 
 #: The longest side that is hashed, and that of a thumbnail.
 WORKING_SIDE, THUMBNAIL_SIDE = 256, 132
@@ -30,9 +32,8 @@ Decoder = Callable[[str, bytes], tuple[np.ndarray, int, int] | None]
 
 
 def _numbered(paths: DataFrame) -> DataFrame:
-    """With photo_idx, the place in path order from 0, without gathering the rows in one task."""
-    rdd = paths.orderBy("path").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return paths.sparkSession.createDataFrame(rdd, "path string, file_size long, photo_idx long")
+    """With photo_idx, the place in path order from 0."""
+    return numbered(paths, F.col("path").asc(), "photo_idx")
 
 
 def find_photos(spark: SparkSession, root: str) -> DataFrame:
@@ -84,11 +85,23 @@ def upright(gray: np.ndarray, orientation: int) -> np.ndarray:
     return np.ascontiguousarray(turned[orientation])
 
 
+def oriented_hashes(gray: np.ndarray) -> list[int]:
+    """The difference hash under each orientation tag, 1 to 8."""
+    return [np_difference_hash(upright(gray, k)) for k in range(1, 9)]
+
+
+@F.pandas_udf(StructType([StructField(k, IntegerType()) for k in ("orientation", *PARTS)]))
+def _tags(head: pd.Series) -> pd.DataFrame:
+    rows = [(read_orientation(bytes(x)), *(read_date(bytes(x)) or (None,) * len(PARTS))) for x in head]
+    return pd.DataFrame(rows, columns=["orientation", *PARTS], dtype="Int32")
+
+
 def decoded_photos(spark: SparkSession, paths: DataFrame, root: str) -> DataFrame:
     """The features of each listed file below ``root``; a file that cannot be decoded has decoded=false.
 
-    Sizes are those stored in the file. The pixels of a partition are decoded and reduced one image
-    at a time and never shuffled; only features leave.
+    Sizes are those stored in the file. Pixels are decoded and reduced where they are read, one image
+    at a time, and never shuffled: an image leaves its sharpness, which no orientation changes, and
+    its hash under each orientation, and the tag, read from the file's bytes, picks one in a thin join.
     """
     images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
     images = images.filter(has_photo_extension(F.col("image.origin"))).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
@@ -97,34 +110,41 @@ def decoded_photos(spark: SparkSession, paths: DataFrame, root: str) -> DataFram
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                ok = r.width > 0 and r.height > 0
-                gray = fit(to_gray(bytes(r.data), r.width, r.height, r.nChannels)) if ok else np.zeros((0, 0), np.uint8)
-                rows.append((unquote(r.origin), int(r.width) if ok else 0, int(r.height) if ok else 0, gray.shape[1], gray.shape[0], gray.tobytes(), bool(ok)))
-            yield pd.DataFrame(rows, columns=["origin", "width", "height", "w", "h", "pixels", "decoded"])
+                if r.width > 0 and r.height > 0:
+                    gray = fit(to_gray(bytes(r.data), r.width, r.height, r.nChannels))
+                    rows.append((unquote(r.origin), int(r.width), int(r.height), oriented_hashes(gray), np_laplacian_variance(gray), True))
+                else:
+                    rows.append((unquote(r.origin), 0, 0, [0] * 8, 0.0, False))
+            yield pd.DataFrame(rows, columns=["origin", "width", "height", "hashes", "sharpness", "decoded"])
 
-    small = images.mapInPandas(reduce, "origin string, width int, height int, w int, h int, pixels binary, decoded boolean")
+    seen = images.mapInPandas(reduce, "origin string, width int, height int, hashes array<long>, sharpness double, decoded boolean")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(has_photo_extension(F.col("path")))
-    heads = files.select(F.col("path").alias("file"), F.substring("content", 1, PREFIX_BYTES).alias("head"))
+    tags = files.select(F.col("path").alias("file"), _tags(F.substring("content", 1, PREFIX_BYTES)).alias("tags"))
     bare = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")  # noqa: E731  the two sources write schemes in different ways
-    both = small.join(heads, bare(F.col("origin")) == bare(F.col("file")))
+    found = seen.join(tags, bare(F.col("origin")) == bare(F.col("file")))
+    out = paths.join(found, bare(F.col("path")) == bare(F.col("file")), "left")
+    ok = F.coalesce("decoded", F.lit(False))
+    date = F.struct(*[F.col(f"tags.{k}").alias(k) for k in PARTS])
+    return out.select(
+        "photo_idx", "path", "file_size", F.when(ok, F.element_at("hashes", F.col("tags.orientation"))).otherwise(0).alias("hash"), F.when(ok, F.col("sharpness")).otherwise(0.0).alias("sharpness"),
+        F.when(ok & F.col("tags.year").isNotNull(), date).alias("date"), F.when(ok, F.col("width")).otherwise(0).alias("width"), F.when(ok, F.col("height")).otherwise(0).alias("height"), ok.alias("decoded"))
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def thumbnails(photos: DataFrame, content: DataFrame, decoder: Decoder, side: int = THUMBNAIL_SIDE) -> DataFrame:
+    """(photo_idx, width, height, pixels): a gray thumbnail of each photo that ``decoder`` can read.
+    ``content``: (path, content)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                gray = np.frombuffer(r.pixels, np.uint8).reshape(r.h, r.w)
-                gray = upright(gray, read_orientation(bytes(r.head))) if r.decoded else gray
-                rows.append((np_difference_hash(gray), np_laplacian_variance(gray), r.width, r.height, r.decoded, r.file))
-            yield pd.DataFrame(rows, columns=["hash", "sharpness", "width", "height", "decoded", "file"])
-
-    seen = both.mapInPandas(measure, "hash long, sharpness double, width int, height int, decoded boolean, file string")
-    dated = heads.select("file", exif_date(F.col("head")).alias("date"))
-    found = seen.join(dated, "file")
-    out = paths.join(found, bare(F.col("path")) == bare(F.col("file")), "left")
-    ok = F.coalesce("decoded", F.lit(False))
-    return out.select(
-        "photo_idx", "path", "file_size", F.when(ok, F.col("hash")).otherwise(0).alias("hash"), F.when(ok, F.col("sharpness")).otherwise(0.0).alias("sharpness"),
-        F.when(ok, F.col("date")).alias("date"), F.when(ok, F.col("width")).otherwise(0).alias("width"), F.when(ok, F.col("height")).otherwise(0).alias("height"), ok.alias("decoded"))
+                if (found := decoder(r.path, bytes(r.content))) is not None:
+                    small = thumbnail(found[0], side)
+                    rows.append((r.photo_idx, small.shape[1], small.shape[0], small.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["photo_idx", "width", "height", "pixels"])
+
+    both = photos.select("photo_idx", "path").join(content.filter("content IS NOT NULL").select("path", "content"), "path")
+    return both.select("photo_idx", "path", "content").mapInPandas(run, "photo_idx long, width int, height int, pixels binary")
 
 
 def photos_with(paths: DataFrame, content: DataFrame, decoder: Decoder) -> DataFrame:

@@ -295,6 +295,8 @@ def test_fake_source_and_own_decoder(spark):
     decode = lambda path, data: (np.frombuffer(data, np.uint8).reshape(64, 64), 64, 64) if len(data) == 4096 else None
     got = images.photos_with(paths, content, decode).orderBy("photo_idx").collect()
     assert [(r["decoded"], r["hash"]) for r in got] == [(True, np_difference_hash(base)), (False, 0), (False, 0)]
+    small = images.thumbnails(paths, content, decode, 16).collect()
+    assert [(r["photo_idx"], r["width"], r["height"], len(r["pixels"])) for r in small] == [(0, 16, 16, 256)]
     result = library.scan_photos(images.photos_from_rasters(paths, rasters))
     assert result.memberships.collect() == [] and tuple(result.stats.first()) == (0, 0)
 
@@ -306,6 +308,9 @@ def test_orientation_and_luma():
     assert images.upright(img, 3).tolist() == [[5, 4, 3], [2, 1, 0]]
     assert images.to_gray(bytes([10, 20, 30]), 1, 1, 3).tolist() == [[(11 * 30 + 16 * 20 + 5 * 10) // 32]]
     assert images.fit(np.zeros((600, 900), np.uint8)).shape == (171, 256) and images.fit(img).shape == (2, 3)
+    scene_ = np.random.default_rng(1).integers(0, 255, (40, 60)).astype(np.uint8)
+    assert images.oriented_hashes(scene_)[5] == images.np_difference_hash(images.upright(scene_, 6))
+    assert {round(images.np_laplacian_variance(images.upright(scene_, k)), 6) for k in range(1, 9)} == {round(images.np_laplacian_variance(scene_), 6)}
     assert images.thumbnail(img).shape == (88, 132) and images.thumbnail(np.zeros((600, 300), np.uint8)).shape == (132, 66)
 
 
@@ -317,6 +322,7 @@ def test_actions(spark, tmp_path):
         actions.apply_moves(plan)
     done = actions.apply_moves(plan, confirm=True)
     assert [r["ok"] for r in done.collect()] == [True, False] and (tmp_path / "2026" / "a.jpg").read_text() == "a.jpg"
+    assert tuple(actions.move_counts(done).first()) == (1, 1)
     assert tuple(actions.failure_text(done).first()) == (1, str(tmp_path / "gone.jpg"))
     photos = spark.createDataFrame([(7, str(tmp_path / "b.jpg"))], "photo_idx long, path string")
     trash = actions.trash_plan(photos, photos, str(tmp_path / "trash"))
@@ -349,6 +355,8 @@ def test_cancel_and_progress(spark):
         time.sleep(0.1)
         if library.progress(spark)[1]:
             break
+    with pytest.raises(ValueError), library.tagged(spark, "scan-1"):
+        pass
     while thread.is_alive():
         library.cancel(spark, "scan-1")
         thread.join(0.5)
