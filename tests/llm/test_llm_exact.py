@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from nearkin.llm import exact_dedup as ed
 from nearkin.llm import mixing, simhash, warc
 from nearkin.runtime import new_folder
@@ -200,8 +202,72 @@ def test_mixing(spark, block):
     assert all(abs(took[k] - t) < 1 for k, t in enumerate(want)), (dict(took), want)
     again = mixing.mix_sources(docs.repartition(7), block=block, shard_slots=16)
     assert sorted(map(tuple, again.documents.collect())) == sorted(map(tuple, out))
-    slots = got.slots.groupBy("shard").count().collect()
-    assert max(r["count"] for r in slots) - min(r["count"] for r in slots) <= 1
+    check_mix(spark, docs, rows, got, block, {r["doc_id"]: r["taken"] for r in out})
+
+
+def check_mix(spark, docs, rows, got, block, taken):
+    """The mix slot by slot: counts per document, spans and texts agree with the packed sources."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, *_ in rows}
+    packed = defaultdict(dict)
+    for r in got.places.collect():
+        for k, w in enumerate(words[r["doc_id"]]):
+            packed[r["s"]][r["start"] + k] = (r["doc_id"], w)
+    assert all(sorted(p) == list(range(len(p))) for p in packed.values())
+    slots, count = got.slots.collect(), defaultdict(int)
+    by = defaultdict(list)
+    for r in slots:
+        by[r["s"]].append(r)
+    for s, own in by.items():
+        blocks = -(-len(packed[s]) // block)
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        for at in range(0, len(own), blocks):
+            some = [r["block"] for r in own if at <= r["slot"] < at + blocks]
+            assert len(set(some)) == len(some) and set(some) <= set(range(blocks))
+    texts = {(r["s"], r["slot"]): r["text"] for r in mixing.mixed_texts(docs, got, block).collect()}
+    spans = defaultdict(list)
+    for r in got.spans().collect():
+        spans[r["s"], r["slot"]].append(r)
+    for r in slots:
+        held = [packed[r["s"]][k] for k in range(r["block"] * block, r["block"] * block + r["limit"]) if k in packed[r["s"]]]
+        for i, _ in held:
+            count[i] += 1
+        assert texts[r["s"], r["slot"]] == " ".join(w for _, w in held)
+        parts = sorted(spans[r["s"], r["slot"]], key=lambda p: p["lo"])
+        assert [w for p in parts for w in words[p["doc_id"]][p["at"] : p["at"] + p["words"]]] == [w for _, w in held]
+    assert {i: count[i] for i in taken} == taken
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Sources by the thousand, shards in several groups, the table of sources joined in copies."""
+    monkeypatch.setattr(mixing, "GROUP", 5)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 10)
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randrange(30), "en", f"s{rng.randrange(1500):04d}" if i % 3 else "hot", 0) for i in range(4000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS), block=8, shard_slots=64)
+    out = got.documents.collect()
+    assert len(out) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in out)
+    sizes = defaultdict(int)
+    for i, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    order = sorted(sizes)
+    want = dict(zip(order, targets_brute([sizes[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5, 2.0), strict=True))
+    took, source = defaultdict(int), {i: s for i, _, _, s, _ in rows}
+    for r in out:
+        assert abs(r["target"] - want[source[r["doc_id"]]]) < 1e-6
+        took[source[r["doc_id"]]] += r["taken"]
+    assert all(abs(took[s] - want[s]) < 1 for s in order)
+    shards = got.slots.groupBy("shard").count().collect()
+    assert len(shards) > 5 and max(r["count"] for r in shards) < 3 * 64
+
+
+def test_mixing_writes_shards(spark):
+    rows = [(i, f"{'w' + str(i)} " * (i + 1), "en", f"s{i % 2}", 0) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (None, "x y z", "en", "s0", 0), (3, "other text", "en", "s1", 0), (5, rows[5][1], "en", "s1", 0)], DOCS).withColumn("same", F.lit(1)).withColumn("s", F.lit("a")).withColumn("size", F.lit(0))
+    got = mixing.mix_sources(docs, block=16, shard_slots=4)
+    out = got.documents.collect()
+    assert len(out) == 43 and sum(r["doc_id"] == 5 for r in out) == 2 and all(r["taken"] <= 2 * r["size"] for r in out)
+    written = mixing.write_shards(docs, got, new_folder(spark, "shards"), block=16).collect()
+    assert sum(len(r["text"].split()) for r in written) == sum(r["taken"] for r in out)
 
 
 def test_mixing_edges(spark):
