@@ -2,11 +2,13 @@
 
 Every distinct page of a host is parsed. A text belongs to a node path (labels are tag, class and id).
 Of the pages that have a text at a path, if most have the same one there, it is template; the other
-texts are slots, whose texts are content. This is counted over all pages of the host and over those
-of each layout (pages with texts at the same set of paths), so that layouts that share a path do not
-hide each other's. Simple tree matching (``match``) only pairs nodes of the same path, so an equal
-text that it aligns is counted here too, whatever the size of the trees; no page is left out.
-The wrapper of a host is the set of its template texts, each with its node's path.
+texts are slots, whose texts are content. Likewise, if most have the same number of texts there and
+all of them are links, these are a frame (a menu, say), template whatever the links say. This is
+counted over all pages of the host and over those of each layout (pages with texts at the same set
+of paths), so that layouts that share a path do not hide each other's. Simple tree matching only
+pairs nodes of the same path, so an equal text that it aligns is counted here too (a test compares
+them), whatever the size of the trees; no page is left out. The wrapper of a host is the set of its
+template texts and frames, each with its node's path.
 
 Extraction parses every page whole and gives out its blocks (the text between block-level tags) in
 page order, without those that the host's wrapper calls template and without those that lie in a
@@ -16,20 +18,24 @@ headings, paragraphs, list items, quotes and table cells are content even if oth
 same text.
 
 A path that fewer than three distinct pages have a text at has no template. Wrappers reach the pages
-by a join on the host.
+by a join on the host. Parsing takes time and memory linear in the page, however deep its markup.
 
 Defined results: a null html is empty and gives the empty text; a null or odd url has no host and
-no wrapper; repeated rows each get their row; broken markup (unclosed or cut tags) is read as far
-as it goes; an empty table gives an empty result. Only the three named columns are read.
+no wrapper; a null page_id is kept; repeated rows each get their row and count once for wrappers;
+broken markup (unclosed or cut tags, stray ends and quotes) is read as far as it goes; deep and very
+long pages are read whole; an empty table gives an empty result. Only the three named columns are
+read, so others may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +43,8 @@ from pyspark.sql import functions as F
 
 from nearkin.runtime import cut, small
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: Possessive, so no part is read again; a quote that nothing closes is a letter.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 BLANK = re.compile(r"[\s ]+")
 RAW = frozenset("script style textarea title noscript iframe xmp noframes template".split())
@@ -73,15 +80,6 @@ LEAST_PAGES = 3
 BROADCAST_ROWS = 12_500
 
 
-class Node:
-    """An element: its label, children and (for a text node, labelled #) text."""
-
-    __slots__ = ("children", "label", "text")
-
-    def __init__(self, label: str, text: str | None = None) -> None:
-        self.label, self.text, self.children = label, text, []
-
-
 def words_of(value: str) -> list[str]:
     return re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
 
@@ -127,41 +125,84 @@ def _raw_end(html: str, tag: str, at: int) -> int:
     return m.start() if m else -1
 
 
+@lru_cache(1 << 16)
+def path_key(parent: int, label: str) -> int:
+    """The key of a node path: a hash of its parent's key and its label, so deep paths cost no more."""
+    return template_key(parent, label)
+
+
+def template_key(path: int, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def frame_key(path: int, links: int) -> int:
+    """A path whose texts on a page are all links, so many of them; a text has no NUL at its start."""
+    return template_key(path, f"\0links {links}")
+
+
+class Block(NamedTuple):
+    """A text with its node path, innermost block tag, whether it is junk, in the main part, and all link."""
+
+    path: int
+    tag: str
+    text: str
+    junk: bool
+    main: bool
+    link: bool
+
+
+class Open(NamedTuple):
+    """An open element, and its innermost block-level element (itself or one around it)."""
+
+    tag: str
+    path: int
+    junk: bool
+    main: bool
+    link: bool
+    block_tag: str
+    block_path: int
+
+
 class Page:
-    """The blocks of a page: (path, innermost block tag, text, junk, in main), and its tree on request."""
+    """The blocks of a page."""
 
-    def __init__(self, html: str, tree: bool = False) -> None:
-        self.blocks: list[tuple[str, str, str, bool, bool]] = []
+    def __init__(self, html: str) -> None:
+        self.blocks: list[Block] = []
         self.has_main = False
-        # an open element: (tag, path, junk, main, node); nothing of a raw element but its end is read
-        root = Node("#root")
-        stack: list[tuple[str, str, bool, bool, Node | None]] = [("#root", "", False, False, root)]
+        stack = [Open("#root", 0, False, False, False, "#root", 0)]
+        # where in the stack the open elements of each tag are, so that no search walks the stack
+        where: dict[str, list[int]] = {}
         held: list[str] = []
+        plain = False
 
         def flush() -> None:
-            nonlocal held
+            nonlocal held, plain
             if held:
                 text = BLANK.sub(" ", unescape("".join(held))).strip()
                 if text:
-                    inner = next((e for e in reversed(stack) if e[0] in BLOCK), stack[0])
-                    self.blocks.append((inner[1], inner[0], text, stack[-1][2], stack[-1][3]))
-                    if tree:
-                        inner[4].children.append(Node("#", text))
-                held = []
+                    top = stack[-1]
+                    self.blocks.append(Block(top.block_path, top.block_tag, text, top.junk, top.main, not plain))
+                held, plain = [], False
 
         def close_to(n: int) -> None:
-            if any(e[0] in BLOCK for e in stack[n:]):
+            if any(e.tag in BLOCK for e in stack[n:]):
                 flush()
+            for e in stack[n:]:
+                where[e.tag].pop()
             del stack[n:]
 
+        def last(tags: frozenset[str]) -> int:
+            return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
         for kind, tag, rest in walk(html):
+            top = stack[-1]
             if kind == "text":
-                if stack[-1][0] not in RAW:
+                if top.tag not in RAW:
                     held.append(rest)
+                    plain = plain or not top.link and not rest.isspace()
             elif kind == "close":
-                n = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if n:
-                    close_to(n)
+                if where.get(tag):
+                    close_to(where[tag][-1])
                 elif tag in BLOCK:
                     flush()
             else:
@@ -171,80 +212,48 @@ class Page:
                 if tag in BLOCK:
                     flush()
                     ends, stops = CLOSES.get(tag, P)
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] in ends:
-                            close_to(i)
-                            if tag not in ("tr", "td", "th"):
-                                break
-                        elif stack[i][0] in stops:
+                    while (n := last(ends)) > last(stops):
+                        close_to(n)
+                        if tag not in ("tr", "td", "th"):
                             break
                 if tag in VOID:
                     continue
                 label, junk, header, main = tag_info(tag, rest.strip().rstrip("/"))
-                _, path, in_junk, in_main, node = stack[-1]
-                main |= in_main
-                junk |= in_junk or header and not in_main
+                top = stack[-1]
+                main |= top.main
+                junk |= top.junk or header and not top.main
                 self.has_main |= main and not junk
-                child = None
-                if tree:
-                    child = Node(label)
-                    node.children.append(child)
-                stack.append((tag, f"{path}/{label}", junk, main, child))
+                path = path_key(top.path, label)
+                block = (tag, path) if tag in BLOCK else (top.block_tag, top.block_path)
+                where.setdefault(tag, []).append(len(stack))
+                stack.append(Open(tag, path, junk, main, top.link or tag == "a", *block))
         flush()
-        self.root = root
-
-
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the size of the largest order-preserving match of two trees, and its pairs."""
-    if a.label != b.label:
-        return 0, []
-    m, n = len(a.children), len(b.children)
-    if not (m and n):
-        return 1, [(a, b)]
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    subs: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(m):
-        for j in range(n):
-            if a.children[i].label == b.children[j].label:
-                subs[i, j] = match(a.children[i], b.children[j])
-                # equal texts are worth more, so a constant text finds its like
-                if a.children[i].text is not None and a.children[i].text == b.children[j].text:
-                    subs[i, j] = 2, subs[i, j][1]
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + subs.get((i, j), (0,))[0])
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += subs[i, j][1]
-    return 1 + best[m][n], pairs
-
-
-def template_key(path: str, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{path}\n{text}".encode(), digest_size=8).digest(), "little", signed=True)
+
+    def frames(self) -> dict[int, int]:
+        """The paths whose texts are all links, with their frame's key."""
+        links, plain = Counter(b.path for b in self.blocks if b.link), {b.path for b in self.blocks if not b.link}
+        return {path: frame_key(path, n) for path, n in links.items() if path not in plain}
 
 
 def places(html: str) -> tuple[int, list[tuple[int, int | None]]]:
     """The layout of a page, and its distinct (path, template key); each path also comes once with None."""
-    blocks = Page(html).blocks
-    paths = {path: template_key(path, "") for path, *_ in blocks}
-    found = {(paths[path], template_key(path, text)) for path, _, text, *_ in blocks}
-    return template_key("\n".join(sorted(paths)), ""), [*found, *((p, None) for p in paths.values())]
+    page = Page(html)
+    paths = {b.path for b in page.blocks}
+    found = {(b.path, template_key(b.path, b.text)) for b in page.blocks} | set(page.frames().items())
+    return template_key(0, "\n".join(map(str, sorted(paths)))), [*found, *((p, None) for p in paths)]
 
 
 def extract(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """The main text of a page."""
     page = Page(html or "")
+    frames = page.frames() if template else {}
     out = []
-    for path, tag, text, junk, main in page.blocks:
-        if junk or page.has_main and not main:
+    for b in page.blocks:
+        if b.junk or page.has_main and not b.main:
             continue
-        if template and not (main and tag in TEXTUAL) and template_key(path, text) in template:
+        if template and not (b.main and b.tag in TEXTUAL) and (template_key(b.path, b.text) in template or frames.get(b.path) in template):
             continue
-        out.append(text)
+        out.append(b.text)
     return "\n".join(out)
 
 

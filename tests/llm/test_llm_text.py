@@ -303,34 +303,97 @@ def test_extract():
     assert html_extract.extract("<SCRIPT>İ</p></SCRIPT><p>x</p>") == "x"
 
 
-def best_match_brute(a, b):
-    if a.label != b.label:
-        return 0
-
-    def best(i, j):
-        if i == len(a.children) or j == len(b.children):
-            return 0
-        x, y = a.children[i], b.children[j]
-        own = (2 if x.text is not None and x.text == y.text else best_match_brute(x, y)) if x.label == y.label else 0
-        return max(best(i + 1, j), best(i, j + 1), best(i + 1, j + 1) + own)
+class Tree:
+    def __init__(self, label, text=None):
+        self.label, self.text, self.children = label, text, []
 
-    return 1 + best(0, 0)
+    def html(self):
+        return self.text if self.text is not None else f"<{self.label}>{'<hr>'.join(c.html() for c in self.children)}</{self.label}>"
 
 
-def test_tree_matching_brute_force():
+def simple_tree_match(a, b):
+    """The size of the largest order-preserving match of two trees, and its pairs; equal texts are worth more."""
+    if a.label != b.label:
+        return 0, []
+    m, n = len(a.children), len(b.children)
+    best = [[(0, [])] * (n + 1) for _ in range(m + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            size, pairs = simple_tree_match(x, y)
+            if x.text is not None and x.text == y.text:
+                size = 2
+            here = (best[i][j][0] + size, best[i][j][1] + pairs) if size else (0, [])
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], here, key=lambda v: v[0])
+    return 1 + best[m][n][0], [(a, b), *best[m][n][1]]
+
+
+def test_counting_finds_what_tree_matching_aligns():
+    """Every equal text that simple tree matching of two pages pairs has one (path, text) key on both."""
     rng = random.Random(3)
 
     def tree(depth):
-        node = html_extract.Node(rng.choice("ab"))
-        for _ in range(rng.randrange(4)):
-            node.children.append(tree(depth - 1) if depth and rng.random() < 0.6 else html_extract.Node("#", rng.choice("xyz")))
+        node = Tree(rng.choice(["div", "div", "div", "section"]))
+        for _ in range(rng.randrange(2, 6)):
+            node.children.append(tree(depth - 1) if depth and rng.random() < 0.4 else Tree("#", rng.choice("xyz")))
         return node
 
-    for _ in range(200):
-        a, b = tree(2), tree(2)
-        size, pairs = html_extract.match(a, b)
-        assert size == best_match_brute(a, b)
-        assert all(x.label == y.label for x, y in pairs)
+    seen = 0
+    for _ in range(400):
+        a, b = tree(3), tree(3)
+        keys = [html_extract.places(x.html())[1] for x in (a, b)]
+        texts = [Counter(html_extract.template_key(p.path, p.text) for p in html_extract.Page(x.html()).blocks) for x in (a, b)]
+        assert all(set(t) <= {k for _, k in key} for t, key in zip(texts, keys, strict=True))
+        paired = [(x, y) for x, y in simple_tree_match(a, b)[1] if x.text is not None and x.text == y.text]
+        both = {k for _, k in keys[0]} & {k for _, k in keys[1]}
+        seen += len(paired)
+
+        def paths(node, key=0, out=None):
+            out = {} if out is None else out
+            for c in node.children:
+                if c.text is not None:
+                    out[id(c)] = html_extract.template_key(html_extract.path_key(key, node.label), c.text)
+                else:
+                    paths(c, html_extract.path_key(key, node.label), out)
+            return out
+
+        of_a, of_b = paths(a), paths(b)
+        for x, y in paired:
+            assert of_a[id(x)] == of_b[id(y)] and of_a[id(x)] in both
+    assert seen > 300
+
+
+def test_parsing_is_linear():
+    import time
+
+    n = 60_000
+    hostile = [
+        "<div>" * n, "<div>" * n + "</span>" * n, "<b>" * n + "<h1>x</h1>" * n, "<p><button>" + "<b>" * n + "<h1>x</h1>" * n, "<li><ul>" + "<div>" * n + "<li>x</li>" * n,
+        "<a " * n + '"', "<a '" * n, "<!--" * n, "<table>" + "<tr><td>" * n, "<p" * n, "<script>" * n, "&amp" * n]
+    for html in hostile:
+        began = time.perf_counter()
+        html_extract.places(html)
+        assert time.perf_counter() - began < 10, html[:40]
+
+
+def test_deep_pages(spark):
+    rng = random.Random(8)
+    page = "<html><body><div><p>Top line</p></div>" + "<div>" * 3000 + "<p>{}</p>" + "</div>" * 3000 + "</body></html>"
+    texts = [prose(rng, "aa", 9) for _ in range(4)]
+    rows = [(i, "http://deep.org/", page.format(t)) for i, t in enumerate(texts)]
+    rows += [(10, "http://deep.org/", page.format(texts[0])), (None, "http://deep.org/", page.format(texts[1]))]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"] or -1, r["text"]) for r in got) == sorted([(i or -1, t) for i, t in enumerate(texts)] + [(10, texts[0]), (-1, texts[1])])
+
+
+def test_wrapper_of_varying_menus(spark):
+    """Names mean nothing here and the menu's links differ from page to page: its frame is the template."""
+    rng = random.Random(12)
+    page = '<html><body><div class="x1"><div class="q">{}</div></div><div class="x2">{}</div><div class="x3"><p>Seen</p></div></body></html>'
+    link = lambda: f'<p><a href="/">{prose(rng, "bb", 1)}</a></p>'
+    body = [[prose(rng, "aa", rng.randrange(5, 30)) for _ in range(rng.randrange(1, 6))] for _ in range(12)]
+    rows = [(i, "http://odd.org/", page.format("".join(link() for _ in range(5)), "".join(f"<p>{t}</p>" for t in ts))) for i, ts in enumerate(body)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(ts) for i, ts in enumerate(body)}
 
 
 def test_wrapper_induction(spark):
