@@ -1,20 +1,30 @@
 """Benchmark decontamination (DataFrame and SQL functions only).
 
 Windows as long as a benchmark item slide over each document. Windows that share enough five-word
-shingles with the item, by their hashes, are candidates. They are verified by
-weighted shingle similarity: shingles count as often as they occur, and the similarity is the sum
-of the smaller counts over the sum of the larger ones. A document is contaminated by an item if
-some window reaches ``similarity``.
-
-Only windows that can reach it are built: a shared shingle counts in the windows that hold it, unless
-they hold it as often as the item already, so sums over the ends of these ranges of starts give what
-each window shares with the item, in any order. Every start that shares enough is built, and the exact check decides. Fingerprints do not: a shingle
-that repeats weighs as often in a SimHash, so that pairs of similarity 0.8 can lie at any distance.
-
-Defined results: null texts have no words; a document with fewer words than an item is one window;
-items of fewer than five words are one shingle; items without a word match nothing; of repeated
-rows of a doc_id and of an item_id the best match counts; null identifiers are identifiers like
-any other; empty tables give an empty result. Only the identifier and text columns are read.
+shingles with the item, by their hashes, are candidates. They are verified by weighted shingle
+similarity: shingles count as often as they occur, and the similarity is the sum of the smaller
+counts over the sum of the larger ones. A document is contaminated by an item if some window
+reaches ``similarity``.
+
+Candidates come from an exact count, not from SimHash fingerprints and Hamming blocks, as these cannot
+give all pairs of similarity 0.8: simulated, pairs of 55 shingles lie 9.4 of 64 bits apart on average,
+so that a radius of 7, whose 8-bit blocks still select, finds 26% of them; a radius of 24, which
+finds them, has blocks of two or three bits, of which 99% of unrelated pairs share one; and as a
+shingle that repeats weighs as often in a fingerprint, 39% of pairs with 80 shared shingles and
+one more that stands ten times lie beyond even that.
+
+First, documents that can reach it: as the sums must agree in at least ``similarity`` times the item's
+shingles, one of any set of its shingles that makes up more than the rest must be there. That set is of
+its rarest ones among all items. Then, windows that can reach it: a shared shingle counts in the windows that
+hold it, unless they hold it as often as the item already, so sums over the ends of these ranges of
+starts give what each window shares with the item, in any order. Every start that shares enough is
+built, and the exact check decides.
+
+Defined results: null texts have no words; texts are read whole, however long; a document with fewer
+words than an item is one window; items of fewer than five words are one shingle; items without a
+word match nothing; of windows that tie the first counts; of repeated rows of a doc_id and of an item_id
+the best match counts; null identifiers are identifiers like any other; empty tables give an empty
+result. Only the identifier and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +36,7 @@ from nearkin.runtime import cut, small
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Most shingle hashes of items that go into a plan as constants.
+#: Most shingle hashes of items that go into a plan as constants; beyond it the same documents come from a join.
 INLINE = 20_000
 #: Most rows of a table that may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -44,15 +54,6 @@ def _hashes(words: str, width: int) -> str:
     return f"flatten(transform(array({words}), w -> if(size(w) < {width}, array(), transform(sequence(0, size(w) - {width}), i -> {_hash_at(width)}))))"
 
 
-def _simhash(hashes: str) -> str:
-    """A bit is set if more than half of the hashes have it; two 32-bit lanes are counted at once."""
-    counts = f"transform(sequence(0, 31), k -> aggregate(h, 0L, (a, x) -> a + (shiftrightunsigned(x, k) & 4294967297L)))"
-    low, high = "(get(c, k) & 4294967295L)", "shiftrightunsigned(get(c, k), 32)"
-    bits = f"aggregate(sequence(0, 31), 0L, (a, k) -> a | if(2 * {low} > n, shiftleft(1L, k), 0L) | if(2 * {high} > n, shiftleft(1L, k + 32), 0L))"
-    inner = bits.replace("> n", "> size(h)")
-    return f"get(transform(array({hashes}), h -> get(transform(array({counts}), c -> {inner}), 0)), 0)"
-
-
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, item_id, w, length, width): items with a word, numbered."""
     rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).distinct()
@@ -61,17 +62,27 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(out.withColumn("width", F.least("length", F.lit(WIDTH))))
 
 
-def _with_shingle(docs: DataFrame, shingles: DataFrame, widths: list[int], n: int) -> DataFrame:
-    """(row, doc_id, text) of the documents that share a shingle with an item."""
-    if n <= INLINE:
+def _rarest(shingles: DataFrame, similarity: float) -> DataFrame:
+    """(hash, width) of each item's rarest shingles that together are more than a match can lack."""
+    seen = shingles.withColumn("seen", F.count(F.lit(1)).over(Window.partitionBy("hash", "width")))
+    order = Window.partitionBy("item").orderBy("seen", "hash", "at")
+    placed = seen.withColumns({"nth": F.row_number().over(order), "m": F.count(F.lit(1)).over(Window.partitionBy("item"))})
+    return placed.filter(F.col("nth") <= F.floor((1 - similarity) * F.col("m") + 1e-9) + 1).select("hash", "width").distinct()
+
+
+def _with_shingle(docs: DataFrame, shingles: DataFrame, widths: list[int]) -> DataFrame:
+    """(row, doc_id, text) of the documents that have one of the shingles."""
+    shingles = cut(shingles)
+    if shingles.count() <= INLINE:
         found = "false"
         for k in widths:
-            hashes = ", ".join(f"{r[0]}L" if r[0] > -(1 << 63) else "-9223372036854775807L - 1L" for r in shingles.filter(F.col("width") == k).select("hash").distinct().collect())
+            hashes = ", ".join(f"{r[0]}L" if r[0] > -(1 << 63) else "-9223372036854775807L - 1L" for r in shingles.filter(F.col("width") == k).select("hash").collect())
             found += f" OR exists(array({WORDS}), w -> size(w) >= {k} AND exists(sequence(0, greatest(size(w) - {k}, 0)), i -> {_hash_at(k)} IN ({hashes})))"
         some = docs.filter(F.expr(found))
     else:
-        every = F.explode(F.expr(f"concat({', '.join(_hashes(WORDS, k) for k in widths)})"))
-        shared = docs.select("doc_id", every.alias("hash")).join(small(cut(shingles.select("hash").distinct()), BROADCAST_ROWS), "hash", "left_semi").select(F.col("doc_id").alias("hit")).distinct()
+        every = F.explode(F.array_distinct(F.expr(f"concat({', '.join(_hashes(WORDS, k) for k in widths)})")))
+        wanted = small(cut(shingles.select("hash").distinct()), BROADCAST_ROWS)
+        shared = docs.select("doc_id", every.alias("hash")).join(wanted, "hash", "left_semi").select(F.col("doc_id").alias("hit")).distinct()
         some = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi")
     return cut(some.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
 
@@ -81,10 +92,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     best), start (the window's first word, from 0; the first of equals) and n_words of the window."""
     items = _items(benchmark, item_col, item_text)
     shingles = cut(items.select("item", "length", "width", F.expr(f"posexplode(CASE width {' '.join(f'WHEN {k} THEN {_hashes("w", k)}' for k in range(1, WIDTH + 1))} END) AS (at, hash)")))
-    n = shingles.count()
     widths = sorted(r[0] for r in shingles.select("width").distinct().collect())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    hits = _with_shingle(texts, shingles, widths, n)
+    hits = _with_shingle(texts, _rarest(shingles, similarity), widths)
     widths = widths or [WIDTH]
 
     worded = hits.select("row", F.expr(WORDS).alias("words"))
