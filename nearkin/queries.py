@@ -17,7 +17,7 @@ from nearkin.functions.signature import TOKENS, text_signatures
 from nearkin.operators import keeper, neardup, organize, ranks
 from nearkin.plans import actions
 from nearkin.plans.library import ScanResult, scan_photos
-from nearkin.runtime import cut, ship
+from nearkin.runtime import cut, ship, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # Rasters

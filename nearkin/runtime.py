@@ -59,13 +59,28 @@ def _bytes(value: str) -> int:
     return int(number[:-1]) * units[number[-1]] if number and number[-1] in units else int(number)
 
 
+#: Tables below this many bytes may be dealt anew after the scan.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table as read, with its rows dealt to all cores if it has fewer files than there are
+    cores: the rows of a Parquet row group are read by one task. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (a single machine, as in tests) a folder of its own is set.
+    Only where a session names none on a single machine, as in tests, a folder of its own is set; on a
+    cluster that is an error, as executors cannot share a machine's own folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="nearkin-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
