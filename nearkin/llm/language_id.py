@@ -10,13 +10,17 @@ characters (a phrase never crosses the end of one; the same rule holds for all l
 segments of a batch step through the automata together as arrays.
 
 The model is fitted on a bounded sample: at most ``train_docs`` documents per language, at most
-``train_chars`` characters each of the automata, less if all tables would pass ``table_bytes``.
+``train_chars`` characters each of the automata, less if all tables would pass ``table_bytes`` (but
+at least ``LEAST_CHARS``), and at most the ``languages`` commonest languages. The ``letters``
+commonest letters have a code of their own; where the sample has more, as with several scripts, every other
+letter has one of ``HASHED`` codes by its code point, so that no script becomes a single symbol.
 Only text and language of documents whose crc32(doc_id as text) mod 5 is not 0 are used.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if there is nothing
-to learn from; equal entropies go to the language with more labelled documents, then by name;
-repeated rows each get their row; an empty table gives an empty result. A null identifier counts
-as the empty text in the crc32.
+to learn from; equal entropies go to the language with more labelled documents, then by name; texts
+are read whole, however long; repeated rows each get their row; an empty table gives an empty result. A null
+identifier counts as the empty text in the crc32. Columns other than the named ones are not read by
+``identify`` and may have any name; ``with_language`` numbers them.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ CHUNK = 1 << 19
 PIECE = 4000
 PAD, SPACE, OTHER = 0, 1, 2
 UND = "und"
+#: Codes that letters without a code of their own share, and the least text of a language.
+HASHED = 64
+LEAST_CHARS = 200
 
 
 def held_out(ident: Column) -> Column:
@@ -75,26 +82,31 @@ class SuffixAutomaton:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Labelled text by language (in order of preference) and the letters that have codes of their own."""
+    """Labelled text by language (in order of preference), the letters that have codes of their own, and
+    how many codes the others share."""
 
     languages: tuple[str, ...]
     texts: tuple[str, ...]
     letters: str
+    shared: int = 1
 
 
 class _Parser:
     """Automata of a model as one transition table."""
 
     def __init__(self, model: LanguageModel) -> None:
-        self.size = OTHER + 1 + len(model.letters)
-        own = {c: OTHER + 1 + i for i, c in enumerate(model.letters)}
-        self.codes = np.full(0x110000, SPACE, np.uint8)
-        alphabetic = np.array([chr(i).isalpha() for i in range(0x10000)])
-        self.codes[:0x10000][alphabetic] = OTHER
-        self.codes[0x10000:] = [OTHER if chr(i).isalpha() else SPACE for i in range(0x10000, 0x110000)]
+        self.size = OTHER + model.shared + len(model.letters)
+        own = {c: OTHER + model.shared + i for i, c in enumerate(model.letters)}
+        points = np.arange(0x110000)
+        alphabetic = np.array([chr(i).isalpha() for i in range(0x110000)])
+        # both cases of a letter share a code
+        low = points.copy()
         for i in np.flatnonzero(alphabetic):
-            if (code := own.get(chr(i).lower()[:1])) is not None:
-                self.codes[i] = code
+            low[i] = ord(chr(i).lower()[0])
+        shared = OTHER + (low * 0x9E3779B1 % (1 << 32)) * model.shared // (1 << 32)
+        self.codes = np.where(alphabetic, shared, SPACE).astype(np.uint8)
+        for c, code in own.items():
+            self.codes[(low == ord(c)) & alphabetic] = code
         self.roots, at = [], 0
         # an automaton has fewer than twice as many states as characters
         full = np.empty((sum(max(1, 2 * len(t)) for t in model.texts), self.size), np.int32)
@@ -190,11 +202,11 @@ def parser(model: LanguageModel) -> _Parser:
     return _parsers[model]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 64, train_chars: int = 30_000, table_bytes: int = 64 << 20, letters: int = 60) -> LanguageModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 64, train_chars: int = 30_000, table_bytes: int = 64 << 20, letters: int = 60, languages: int = 1000) -> LanguageModel:
     """Labelled text of each language from a bounded sample of the rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()}
     if not sizes:
         return LanguageModel((), (), "")
     place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30))
@@ -205,12 +217,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     start = F.when(size > PIECE, F.pmod(F.xxhash64("id"), size - PIECE)).otherwise(0).cast("int") + 1
     found = rows.filter(pick).select("lang", place.alias("place"), F.substring(F.col("text"), start, F.lit(PIECE)).alias("piece")).collect()
     found.sort(key=lambda r: (r["lang"], r["place"], r["piece"]))
-    common = Counter(c for r in found for c in r["piece"].lower() if c.isalpha() and ord(c) < 0x10000)
+    common = Counter(c for r in found for c in r["piece"].lower() if c.isalpha())
+    shared = 1 if len(common) <= letters else HASHED
     kept = "".join(c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:letters])
-    chars = max(1000, min(train_chars, table_bytes // (8 * (len(kept) + 3) * len(sizes))))
+    chars = max(LEAST_CHARS, min(train_chars, table_bytes // (8 * (OTHER + shared + len(kept)) * len(sizes))))
     names = tuple(sorted({r["lang"] for r in found}, key=lambda x: (-sizes[x], x)))
     texts = tuple(" ".join([r["piece"] for r in found if r["lang"] == lang][:train_docs])[: 2 * chars] for lang in names)
-    return LanguageModel(names, tuple(t[:chars] for t in texts), kept)
+    return LanguageModel(names, tuple(t[:chars] for t in texts), kept, shared)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -14,11 +14,11 @@ from nearkin.llm.mixing import mix_sources
 from nearkin.llm.simhash import near_dedup
 from nearkin.llm.token_counts import count_tokens
 from nearkin.llm.warc import round_trip
-from nearkin.runtime import ship
+from nearkin.runtime import ship, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

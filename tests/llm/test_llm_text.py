@@ -64,6 +64,27 @@ def test_language_id(spark):
     assert sum(scored) / len(scored) > 0.95
 
 
+def test_language_id_of_many_scripts(spark):
+    """Languages that share a script with more letters than have codes of their own."""
+    rng = random.Random(15)
+    pools = {"zh": range(0x4E00, 0x4E80), "ja": range(0x4E80, 0x4F00), "ru": range(0x430, 0x440), "bg": range(0x440, 0x450), "got": range(0x10330, 0x10348)}
+    words = {k: ["".join(chr(rng.choice(p)) for _ in range(rng.randrange(1, 5))) for _ in range(60)] for k, p in pools.items()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(30)), lang, "s", 0) for i in range(250) for lang in [sorted(pools)[i % 5]]]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    held = [got[i]["lang_pred"] == lang for i, _, lang, _, _ in rows if got[i]["held_out"]]
+    assert sum(held) == len(held) > 20
+
+
+def test_language_id_ties_repeats_and_names(spark):
+    """Texts that fit two languages alike go to the one with more documents; extra columns may clash."""
+    rows = [(i, "ba be bi", "bb" if i % 3 else "aa", 7, "x") for i in range(60)] + [(3, "ba be bi", "bb", 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred int, _c0 string")
+    # as many documents of each, so that the labelled texts are equal
+    got = language_id.identify(docs, train_docs=6).collect()
+    assert len(got) == 61 and {r["lang_pred"] for r in got} == {"bb"} and sum(r["doc_id"] == 3 for r in got) == 2
+    assert language_id.with_language(docs, language_id.fit(docs)).columns == ["_c0", "_c1", "_c2", "_c3", "_c4", "lang_pred", "score"]
+
+
 def test_language_id_ignores_labels_of_held_out(spark):
     rng = random.Random(6)
     rows = [(i, prose(rng, lang := rng.choice(["aa", "bb"]), 50), lang, "s", 0) for i in range(80)]
