@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps, wi
 ``documents``; the last one gives the mixture: the row of each document with its size, its source's
 size and target, and the words that the mixture takes from it. ``run`` writes each stage's result
 as Parquet into the shared folder and rereads it, so a lost executor costs one stage at most.
+
+Defined results: null and empty texts have no language and go in the first stage, as do texts without a
+letter; texts are read whole, however long; of equal or near texts ties go to the smallest doc_id, null
+ones last, and of repeated rows one stays; rows of one doc_id with different texts are decided apart; empty
+tables give an empty result. Further columns, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
