@@ -10,7 +10,8 @@ dealt over several ranges instead of one. Only a text that a splitter names can
 of it; such texts (at most one per splitter) are also summed up over all rows, with partial
 aggregation, and that small table corrects their runs.
 
-Defined results: a null text is the empty text and all empty texts are equal; a null identifier
+Defined results: a null text is the empty text and all empty texts are equal; texts are compared whole,
+however long; a null identifier
 loses every tie; of repeated rows one is kept; an empty table gives an empty result. Only the
 identifier and text columns and those named in ``carry`` are read, so other columns may have any
 name.

@@ -9,8 +9,9 @@ document's count.
 Tokens come from a byte-level BPE vocabulary given by path; nothing is trained or copied here.
 
 Defined results: a null or empty text has no token and one empty section; a text that ends in a
-line feed has no further section after it; repeated rows each get their rows; an empty table gives
-an empty result. Only the identifier and text columns are read.
+line feed has no further section after it; texts are encoded whole, however long; `most` gives a tie to
+the first section; repeated rows each get their rows; a null identifier is kept; an empty table gives an
+empty result. Only the identifier and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations

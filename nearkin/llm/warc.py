@@ -12,7 +12,8 @@ holds the payload (response); the others are revisit records that refer to it.
 Defined results: a null html is an empty payload; a null page_id comes after all others, and
 equal payloads whose page_ids are all null are all responses, as are repeated rows of the smallest
 page_id; a null url is written as an empty one; an empty table gives no archive and an empty
-index. Only the three named columns are read.
+index. Payloads are written and read whole, however long. Only the three named columns are read, so
+others may have any name.
 """
 
 from __future__ import annotations

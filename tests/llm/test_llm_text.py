@@ -476,6 +476,12 @@ def test_token_counts(spark, rule):
         assert [r["section_tokens"] for r in rows] == [want[k] for k in range(len(lines))]
 
 
+def test_token_counts_repeats_and_names(spark):
+    rows = [(1, "a b\nc", 1, 2), (1, "a b\nc", 1, 2), (None, "x", 1, 2)]
+    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, section int, n_tokens int")).collect()
+    assert sorted((r["doc_id"] or 0, r["section"], r["section_tokens"]) for r in got) == [(0, 0, 1), (1, 0, 3), (1, 0, 3), (1, 1, 1), (1, 1, 1)]
+
+
 def test_token_counts_edges(spark):
     assert token_counts.count_tokens(spark.createDataFrame([], DOCS)).collect() == []
     with pytest.raises(ValueError):
