@@ -44,3 +44,13 @@ def test_without_the_optional_subpackage(tmp_path):
     code = "import __spark_entry__ as e; names = e.queries(); assert 'entry' not in names; print(len(names), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
     assert out.stdout.split() == [str(len(QUERIES)), str(len(SQL))], out.stderr
+    rest = subprocess.run([sys.executable, "-m", "pytest", "-x", "-q", "-p", "no:cacheprovider", "tests/test_functions.py"], cwd=tmp_path / "r", capture_output=True, text=True, timeout=600)
+    assert rest.returncode == 0, rest.stdout[-2000:]
+
+
+def test_a_missing_library_is_an_error(tmp_path):
+    """Only the optional parts themselves may be absent."""
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    (tmp_path / "r" / "xxhash.py").write_text("raise ModuleNotFoundError('no xxhash', name='xxhash')")
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "r", capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
+    assert out.returncode != 0 and "xxhash" in out.stderr
