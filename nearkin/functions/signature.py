@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.functions.raster import GRID_HEIGHT, GRID_WIDTH, grid_hash_sql
+from nearkin.functions.raster import GRID_HEIGHT, GRID_WIDTH
 
 CELLS = GRID_WIDTH * GRID_HEIGHT
 TOKENS = r"regexp_extract_all(lower({}), '[^ \n]+', 0)"
@@ -19,6 +19,8 @@ def text_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = docs.select(F.col(id_col).alias("id"), F.explode_outer(F.expr(TOKENS.format(text_col))).alias("word"))
     cell = F.pmod(F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("int"), F.lit(CELLS))
     counts = words.groupBy("id", cell.alias("cell")).agg(F.count("word").alias("n"))
-    pairs = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n")))).alias("m"))
-    grid = f"transform(sequence(0, {CELLS - 1}), c -> coalesce(m[c], 0L))"
-    return pairs.select("id", F.expr(grid_hash_sql(grid)).alias("hash"))
+    cells = counts.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n")))).alias("m"))
+    # a cell without words is never brighter; the list is short, and its expression is evaluated once
+    beside = "if(get(m, i + 1).cell = p.cell + 1, get(m, i + 1).n, 0L)"
+    bit = f"if(p.cell % {GRID_WIDTH} < {GRID_WIDTH - 1} AND p.n > coalesce({beside}, 0L), shiftleft(1L, cast(p.cell div {GRID_WIDTH} * {GRID_WIDTH - 1} + p.cell % {GRID_WIDTH} AS int)), 0L)"
+    return cells.select("id", F.expr(f"aggregate(transform(m, (p, i) -> {bit}), 0L, (a, b) -> a | b)").alias("hash"))
