@@ -24,6 +24,11 @@ def band_value(x: Column, band: Column | int) -> Column:
     return F.call_function("shiftrightunsigned", x, shift.cast("int")).bitwiseAND(F.lit(255))
 
 
+def signed(bits: int) -> int:
+    """The long that has these 64 bits."""
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def clamp_threshold(threshold: int) -> int:
     return max(0, min(threshold, MAX_THRESHOLD))
 

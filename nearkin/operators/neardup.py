@@ -2,20 +2,22 @@
 
 The plain index cuts a hash into eight bands of eight bits: hashes within seven bits of each other
 share a band (``band_index``, ``band_candidates``). Its buckets are large at scale, so pairs and
-groups come from a finer index with the same answer: the hash is cut into t+2 blocks and every two
-of them form a key. A pair within t bits leaves at least two blocks alone, so it shares a key, of
-about 2*64/(t+2) bits. Both run on distinct hashes; equal hashes are linked as stars, so a hash
+groups come from a finer index with the same answer: the hash is cut into t+f blocks and every f
+of them form a key. A pair within t bits leaves at least f blocks alone, so it shares a key, of
+about 64f/(t+f) bits; f grows with the table (``free_blocks``), so buckets stay small. Both run on distinct hashes; equal hashes are linked as stars, so a hash
 that a third of all rows share never forms its pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.functions.bits import BANDS, band_value, clamp_threshold, hamming
+from nearkin.functions.bits import BANDS, band_value, clamp_threshold, hamming, signed
 from nearkin.operators.components import connected_components
 from nearkin.runtime import cut
 
@@ -57,8 +59,7 @@ def candidate_stats(hashes: DataFrame) -> DataFrame:
     sets = []
     for size in range(1, BANDS + 1):
         for bands in combinations(range(BANDS), size):
-            mask = sum(255 << 8 * b for b in bands)
-            mask -= (1 << 64) if mask >> 63 else 0
+            mask = signed(sum(255 << 8 * b for b in bands))
             sets.append(F.struct(F.lit(mask).alias("mask"), F.lit(1 if size % 2 else -1).alias("sign")))
     # equal hashes are one row with a count before the 255 keys are made
     distinct = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
@@ -68,32 +69,57 @@ def candidate_stats(hashes: DataFrame) -> DataFrame:
     return pairs.crossJoin(hashes.agg(F.expr("count(1) * (count(1) - 1) div 2").alias("naive_comparisons")))
 
 
-def _block_masks(threshold: int) -> list[int]:
-    """A mask for every two of t+2 blocks, as signed numbers."""
-    n = threshold + 2
+#: Most blocks that a key takes.
+MOST_FREE = 6
+
+
+def _blocks(n: int) -> list[int]:
+    """The bits of each of n blocks."""
     edges = [round(64 * i / n) for i in range(n + 1)]
-    blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
-    masks = [a | b for a, b in combinations(blocks, 2)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def free_blocks(rows: int, threshold: int) -> int:
+    """How many of t+f blocks a key takes, f: more make longer keys, so smaller buckets, but also more keys.
+
+    The least of the index rows (a shuffled one counts as much as 32 compared pairs) and the pairs of
+    buckets that ``rows`` distinct hashes are expected to make. The answer of the join is the same for all.
+    """
 
+    def cost(free: int) -> float:
+        return comb(threshold + free, free) * rows * (32 + rows / 2 ** (64 * free / (threshold + free) + 1))
 
-def distinct_hash_pairs(distinct: DataFrame, threshold: int) -> DataFrame:
-    """(ha, hb, distance): pairs of distinct hashes within the threshold, ha < hb, once each."""
-    masks = _block_masks(clamp_threshold(threshold))
-    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("hash").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])
-    index = distinct.select("hash", F.inline(keys))
+    return min(range(2, MOST_FREE + 1), key=cost)
+
+
+def distinct_hash_pairs(distinct: DataFrame, threshold: int, free: int | None = None) -> DataFrame:
+    """(ha, hb, distance): pairs of distinct hashes within the threshold, ha < hb, once each.
+
+    Every ``free`` of t+free blocks form a key; by default as many as suit the number of rows, so
+    ``distinct`` should be cut, as it is counted.
+    """
+    t = clamp_threshold(threshold)
+    free = free_blocks(distinct.count(), t) if free is None else free
+    blocks = _blocks(t + free)
+    sets = []
+    for chosen in combinations(range(t + free), free):
+        mask = sum(blocks[i] for i in chosen)
+        sets.append(F.struct(F.lit(sum(1 << i for i in chosen)).alias("k"), F.lit(signed(mask)).cast("long").alias("mask")))
+    index = distinct.select("hash", F.inline(F.array(*sets))).select("hash", "k", F.col("hash").bitwiseAND(F.col("mask")).alias("v"))
     a, b = index.alias("a"), index.alias("b")
     differ = F.col("a.hash").bitwiseXOR(F.col("b.hash"))
-    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
+    # the first common key of a pair has the lowest of its equal blocks: all others come after the key's last
+    equal = reduce(lambda x, y: x.bitwiseOR(y), [F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, F.lit(1 << i)).otherwise(0) for i, m in enumerate(blocks)])
+    others = equal.bitwiseXOR(F.col("a.k"))
+    first = (others == 0) | (others.bitwiseAND(-others) > F.col("a.k"))
     on = (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.hash") < F.col("b.hash"))
-    near = (F.bit_count(differ) <= clamp_threshold(threshold)) & (first == F.col("a.k"))
-    return a.join(b, on & near).select(F.col("a.hash").alias("ha"), F.col("b.hash").alias("hb"), F.bit_count(differ).alias("distance"))
+    return a.join(b, on & (F.bit_count(differ) <= t) & first).select(F.col("a.hash").alias("ha"), F.col("b.hash").alias("hb"), F.bit_count(differ).alias("distance"))
 
 
 def near_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
     """(a, b, distance) with a < b: every pair of rows within the threshold, copies included."""
     rows = hashed(hashes)
-    links = distinct_hash_pairs(rows.select("hash").distinct(), threshold)
+    links = distinct_hash_pairs(cut(rows.select("hash").distinct()), threshold)
     sides = links.join(rows.select(F.col("idx").alias("i"), F.col("hash").alias("ha")), "ha").join(rows.select(F.col("idx").alias("j"), F.col("hash").alias("hb")), "hb")
     across = sides.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
     x, y = rows.alias("x"), rows.alias("y")

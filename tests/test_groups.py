@@ -109,6 +109,21 @@ def test_small_groups(spark, hashes, t, want):
     assert tuple(neardup.candidate_stats(df).first())[1] == n * (n - 1) // 2
 
 
+@pytest.mark.parametrize(("t", "free"), [(0, 2), (3, 3), (3, 5), (5, 4), (7, 2), (7, 6)])
+def test_keys_of_any_length_find_each_pair_once(spark, t, free):
+    hashes = sorted(set(clustered(12, 6, 40, t)) | {0, 1, MASK, MASK >> 1})
+    want = sorted((signed(x), signed(y), (x ^ y).bit_count()) for x in hashes for y in hashes if signed(x) < signed(y) and (x ^ y).bit_count() <= t)
+    got = neardup.distinct_hash_pairs(frame(spark, hashes).select("hash"), t, free)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_longer_keys_for_larger_tables():
+    for t in range(8):
+        chosen = [neardup.free_blocks(10**k, t) for k in range(13)]
+        assert chosen == sorted(chosen) and chosen[0] == 2
+    assert neardup.free_blocks(0, 7) == 2 and neardup.free_blocks(10**9, 7) > 3
+
+
 def test_hot_hash_makes_no_pairs(spark):
     df = spark.range(20_000).select(F.col("id").alias("idx"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.xxhash64("id")).alias("hash"))
     assert neardup.near_groups(df, 3).count() >= 6667
