@@ -1,14 +1,16 @@
 """Queries over the test tables, one per operator, and their SQL for DuckDB.
 
-The tables hold no photos, so stand-ins are used: embeddings are 8 by 8 rasters, the signature of a
+The tables hold no photos, so stand-ins are used: embeddings are 8 by 8 rasters or files of their bytes, the signature of a
 document is its hash, its number of distinct words its sharpness and its length its area; orders
 are dated photos whose names repeat.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ from nearkin.functions import bits, exif, paths, raster
 from nearkin.functions.signature import TOKENS, text_signatures
 from nearkin.operators import keeper, neardup, organize, ranks
 from nearkin.plans import actions
-from nearkin.plans.library import ScanResult, scan_photos
+from nearkin.plans.library import PRESETS, ScanResult, scan_photos
 from nearkin.runtime import cut, ship, spread
+from nearkin.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,9 +54,9 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.expr(PIXELS).alias("p"))
 
 
-def box_sql(w: int, h: int) -> str:
+def box_sql(w: int, h: int, px: str = PIXELS_SQL) -> str:
     return f"""
-px AS ({PIXELS_SQL}),
+px AS ({px}),
 cell AS (
   SELECT i, (i // {w}) * 8 // {h} AS y0, least(8, greatest((i // {w}) * 8 // {h} + 1, (i // {w} + 1) * 8 // {h})) AS y1,
          (i % {w}) * 8 // {w} AS x0, least(8, greatest((i % {w}) * 8 // {w} + 1, (i % {w} + 1) * 8 // {w})) AS x1 FROM range({w * h}) t(i)),
@@ -62,10 +65,16 @@ grid AS (SELECT vec_id, i, (sum(v) // count(*))::INT AS v FROM one JOIN cell ON
 
 
 BIT_SUM = "coalesce(sum(CASE WHEN b < 63 THEN pow(2, b)::HUGEINT WHEN b = 63 THEN -(pow(2, 63)::HUGEINT) END), 0)::BIGINT"
-DHASH_SQL = f"""
-WITH {box_sql(9, 8)},
+
+
+def dhash_sql(px: str = PIXELS_SQL) -> str:
+    return f"""
+{box_sql(9, 8, px)},
 bit AS (SELECT l.vec_id, b FROM range(64) t(b) JOIN grid l ON l.i = b // 8 * 9 + b % 8 JOIN grid r ON r.vec_id = l.vec_id AND r.i = l.i + 1 WHERE l.v > r.v),
-dhash AS (SELECT e.vec_id, {BIT_SUM} AS hash FROM embeddings e LEFT JOIN bit USING (vec_id) GROUP BY e.vec_id)"""
+dhash AS (SELECT e.vec_id, {BIT_SUM} AS hash FROM px e LEFT JOIN bit USING (vec_id) GROUP BY e.vec_id)"""
+
+
+DHASH_SQL = f"WITH {dhash_sql()}"
 
 
 @query("box_downscale", f"WITH {box_sql(5, 3)} SELECT vec_id, i, v FROM grid")
@@ -87,16 +96,15 @@ def difference_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dhashes(spark, sf_dir)
 
 
-@query(
-    "laplacian_variance",
-    f"""
-WITH px AS ({PIXELS_SQL}),
+LAPLACIAN_SQL = """
 r AS (
   SELECT vec_id, p[k - 7] + p[k + 9] + p[k] + p[k + 2] - 4 * p[k + 1] AS r FROM px, range(64) t(k)
   WHERE k // 8 BETWEEN 1 AND 6 AND k % 8 BETWEEN 1 AND 6),
-s AS (SELECT vec_id, sum(r)::DOUBLE AS s, sum(r * r)::DOUBLE AS q, count(*) AS n FROM r GROUP BY vec_id)
-SELECT vec_id, round(greatest(0, q / n - (s / n) * (s / n)), 6) AS sharpness FROM s""",
-)
+s AS (SELECT vec_id, sum(r)::DOUBLE AS s, sum(r * r)::DOUBLE AS q, count(*) AS n FROM r GROUP BY vec_id),
+sharp AS (SELECT vec_id, round(greatest(0, q / n - (s / n) * (s / n)), 6) AS sharpness FROM s)"""
+
+
+@query("laplacian_variance", f"WITH px AS ({PIXELS_SQL}), {LAPLACIAN_SQL} SELECT * FROM sharp")
 def laplacian_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters(spark, sf_dir).select("vec_id", F.round(raster.laplacian_variance("p", "8", "8"), 6).alias("sharpness"))
 
@@ -208,6 +216,12 @@ def group_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("group_id", F.concat_ws(",", F.col("members").cast("array<string>")).alias("members"))
 
 
+@query("group_order", f"WITH RECURSIVE {SIGNATURE_SQL}, {near_sql(3)} SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS place FROM member GROUP BY group_id")
+def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups in the order of their first members."""
+    return ranks.numbered(_groups(3)(spark, sf_dir).select("group_id").distinct(), F.col("group_id").asc(), "place")
+
+
 @query("group_sizes", f"WITH RECURSIVE {SIGNATURE_SQL}, {near_sql(3)} SELECT group_id, count(*) AS size, count(*) - 1 AS to_remove FROM member GROUP BY group_id")
 def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keeper.group_sizes(_groups(3)(spark, sf_dir))
@@ -273,6 +287,100 @@ def regroup_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keeper.regroup(members, members.filter("idx % 3 = 0"))
 
 
+# Photos: embeddings are files of 64 gray bytes, of which every ninth has lost its last byte and cannot be decoded
+
+def square(path: str, content: bytes) -> tuple[np.ndarray, int, int] | None:
+    """The decoder of these files."""
+    return (np.frombuffer(content, np.uint8).reshape(8, 8), 8, 8) if len(content) == 64 else None
+
+
+def square_files(rows: DataFrame) -> DataFrame:
+    """(photo_idx, path, file_size, p, content) from (vec_id, p)."""
+    kept = F.expr("if(vec_id % 9 = 0, slice(p, 1, 63), p)")
+    files = rows.select(F.col("vec_id").alias("photo_idx"), F.format_string("/dump/%d.gray", "vec_id").alias("path"), kept.alias("p"))
+    content = F.unhex(F.array_join(F.transform("p", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    return files.select("photo_idx", "path", F.size("p").cast("long").alias("file_size"), "p", content.alias("content"))
+
+
+def _seen(photos: DataFrame) -> DataFrame:
+    return photos.select("photo_idx", "file_size", "hash", F.round("sharpness", 6).alias("sharpness"), "width", "height", "decoded")
+
+
+SEEN_SQL = f"""{DHASH_SQL}, {LAPLACIAN_SQL}
+SELECT vec_id AS photo_idx, CASE WHEN ok THEN 64 ELSE 63 END::BIGINT AS file_size, CASE WHEN ok THEN hash ELSE 0 END AS hash, CASE WHEN ok THEN sharpness ELSE 0 END AS sharpness,
+       CASE WHEN ok THEN 8 ELSE 0 END AS width, CASE WHEN ok THEN 8 ELSE 0 END AS height, ok AS decoded
+FROM (SELECT *, vec_id % 9 <> 0 AS ok FROM dhash JOIN sharp USING (vec_id))"""
+
+
+def raster_photos(rows: DataFrame) -> DataFrame:
+    files = square_files(rows)
+    held = files.select("path", F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("p").alias("pixels"), F.lit(None).cast(exif.DATE_TYPE).alias("date"),
+                        F.lit(None).cast("int").alias("full_width"), F.lit(None).cast("int").alias("full_height"))
+    return images.photos_from_rasters(files.select("photo_idx", "path", "file_size"), held)
+
+
+@query("photos_in_memory", SEEN_SQL)
+def photos_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seen(raster_photos(rasters(spark, sf_dir)))
+
+
+@query("photos_own_decoder", SEEN_SQL)
+def photos_own_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = square_files(rasters(spark, sf_dir))
+    return _seen(images.photos_with(files.select("photo_idx", "path", "file_size"), files, square))
+
+
+#: Each raster and a copy with a white corner.
+RETOUCHED_SQL = f"SELECT 2 * vec_id + c AS vec_id, CASE c WHEN 1 THEN list_concat([255], p[2:]) ELSE p END AS p FROM ({PIXELS_SQL}), range(2) t(c)"
+
+
+@query("scan_photos_t5", f"WITH RECURSIVE {dhash_sql(RETOUCHED_SQL)}, good AS (SELECT vec_id AS idx, hash FROM dhash WHERE vec_id % 9 <> 0), {near_sql(5, 'good')} SELECT group_id, idx FROM member")
+def scan_photos_t5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = F.expr("inline(array(struct(2 * vec_id AS vec_id, p), struct(2 * vec_id + 1 AS vec_id, concat(array(255), slice(p, 2, 63)) AS p)))")
+    return scan_photos(raster_photos(rasters(spark, sf_dir).select(both)), PRESETS["loose"]).memberships
+
+
+@query("thumbnails", f"WITH {box_sql(12, 12)} SELECT vec_id AS photo_idx, i, v FROM grid WHERE vec_id % 9 <> 0")
+def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = square_files(rasters(spark, sf_dir))
+    small = images.thumbnails(files.select("photo_idx", "path"), files, square, 12)
+    return small.select("photo_idx", F.posexplode(F.expr("transform(sequence(1, width * height), i -> cast(conv(hex(substring(pixels, i, 1)), 16, 10) AS int))")).alias("i", "v"))
+
+
+def each_raster(spark: SparkSession, sf_dir: str, values: Callable[[np.ndarray], Iterable[int]]) -> DataFrame:
+    """(vec_id, i, v): the numbers that a function of arrays gives for each raster."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "v": [[int(v) for v in values(np.asarray(p, np.uint8).reshape(8, 8))] for p in batch["p"]]})
+
+    return rasters(spark, sf_dir).mapInPandas(run, "vec_id long, v array<long>").select("vec_id", F.posexplode("v").alias("i", "v"))
+
+
+@query("scaled_decode", f"WITH {box_sql(5, 5)} SELECT vec_id, i, v::BIGINT AS v FROM grid")
+def scaled_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return each_raster(spark, sf_dir, lambda gray: images.fit(gray, 5).reshape(-1))
+
+
+@query("gray_luma", f"""
+SELECT vec_id, i::INT AS i, ((11 * p[3 * i + 3] + 16 * p[3 * i + 2] + 5 * p[3 * i + 1]) // 32)::BIGINT AS v FROM ({PIXELS_SQL}), range(21) t(i)""")
+def gray_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 63 bytes as three rows of seven pixels: blue, green, red."""
+    return each_raster(spark, sf_dir, lambda gray: images.to_gray(gray.tobytes()[:63], 7, 3, 3).reshape(-1))
+
+
+#: The place in the stored raster of pixel (y, x) of the upright one, for orientations 1 to 8.
+UPRIGHT_SQL = ("8 * y + x", "8 * y + 7 - x", "8 * (7 - y) + 7 - x", "8 * (7 - y) + x", "8 * x + y", "8 * (7 - x) + y", "8 * (7 - x) + 7 - y", "8 * x + 7 - y")
+TURNED_SQL = f"""
+SELECT 8 * vec_id + o AS vec_id, list(p[(CASE o {' '.join(f'WHEN {o} THEN {at}' for o, at in enumerate(UPRIGHT_SQL))} END) + 1] ORDER BY y, x) AS p
+FROM ({PIXELS_SQL}), range(8) a(o), range(8) b(y), range(8) c(x) GROUP BY vec_id, o"""
+
+
+@query("oriented_hashes", f"WITH {dhash_sql(TURNED_SQL)} SELECT vec_id // 8 AS vec_id, (vec_id % 8)::INT AS i, hash AS v FROM dhash")
+def oriented_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return each_raster(spark, sf_dir, images.oriented_hashes)
+
+
 # Capture times
 
 def _jpeg(head: str, date: Column) -> Column:
