@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearkin.llm import language_id, secrets, toxicity
+from nearkin.llm import language_id, merkle, secrets, toxicity, vector_codes
 from nearkin.llm.decontaminate import contaminated
 from nearkin.llm.exact_dedup import exact_dedup
 from nearkin.llm.html_extract import extract_pages
@@ -61,6 +61,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).documents
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_rows(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
@@ -129,6 +137,75 @@ r AS (SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest, m
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM r
 """
 
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _levels_sql(nodes: str, paths: str, first: int, levels: int) -> str:
+    """CTEs l{i} (k, pos, h, n) and w{i} (rid, k, pos, n, cur, sib) of a tree from its leaves and the paths through it."""
+    out = f"l{first} AS ({nodes}), w{first} AS ({paths})"
+    for i in range(first, first + levels):
+        out += f""",
+l{i + 1} AS (
+  SELECT k, x.pos // 8 AS pos, sha256(string_agg(x.h, '' ORDER BY x.pos)) AS h, (n + 7) // 8 AS n FROM l{i} x WHERE n > 1 GROUP BY k, x.pos // 8, n
+  UNION ALL SELECT k, pos, h, n FROM l{i} WHERE n = 1),
+w{i + 1} AS (
+  SELECT w.rid, w.k, w.pos // 8 AS pos, (w.n + 7) // 8 AS n, sha256(string_agg(CASE WHEN l.pos = w.pos THEN w.cur ELSE l.h END, '' ORDER BY l.pos)) AS cur,
+         any_value(w.sib) || coalesce(string_agg(l.h, '' ORDER BY l.pos) FILTER (l.pos <> w.pos), '') AS sib
+  FROM w{i} w JOIN l{i} l ON l.k = w.k AND l.pos // 8 = w.pos // 8 WHERE w.n > 1 GROUP BY w.rid, w.k, w.pos, w.n
+  UNION ALL SELECT rid, k, pos, n, cur, sib FROM w{i} WHERE n = 1)"""
+    return out
+
+
+#: Up to 8^7 leaves of a language and 8^3 languages.
+OP11_SQL = f"""
+WITH f AS (SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM (SELECT *, {{crc}} AS crc FROM documents)),
+h AS (
+  SELECT row_number() OVER () AS rid, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '+' || lang END AS k,
+         sha256({" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf, sha256({" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", "other")))}) AS changed FROM f),
+d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM h),
+{_levels_sql("SELECT k, pos, leaf AS h, n FROM d", "SELECT rid, k, pos, n, changed AS cur, '' AS sib FROM d", 0, 7)},
+g AS (SELECT k AS lang_key, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS place, count(*) OVER () AS many FROM l7),
+{_levels_sql("SELECT '' AS k, place AS pos, subroot AS h, many AS n FROM g", "SELECT rid, '' AS k, place AS pos, many AS n, cur, sib FROM w7 JOIN g ON lang_key = k", 10, 3)}
+SELECT doc_id, leaf, subroot, l13.h AS root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = l13.h AS verified
+FROM d JOIN g ON lang_key = d.k JOIN w13 USING (rid), l13
+"""
+
+#: DuckDB has no crc32: its register over the bytes, a bit at a time.
+OP11_SQL = OP11_SQL.replace("{crc}", """list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda r, b: list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))""").replace("crc % 3", "xor(crc, 4294967295) % 3")
+
+
+def _nearest_sql(rows: str, books: str) -> str:
+    """(pos, v, n, e, c): of each part the least distance, and the first entry that has it."""
+    return f"""
+SELECT pos, v, n, m.e AS e, m.c AS c FROM (
+  SELECT r.pos, r.v, r.n, min(struct_pack(e := (list_inner_product(r.v, r.v) - 2 * list_inner_product(r.v, b.v) + list_inner_product(b.v, b.v))::BIGINT, c := b.c)) AS m
+  FROM {rows} r JOIN {books} b ON b.pos = r.pos GROUP BY r.pos, r.v, r.n)"""
+
+
+def _round_sql(i: int) -> str:
+    """The codebook after a round: floored means, and entries without parts as they were."""
+    return f"""
+a{i} AS ({_nearest_sql("u", f"b{i}")}),
+m{i} AS (SELECT pos, c, j, floor(sum(n * x) / sum(n)) AS x FROM (SELECT pos, c, n, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY pos, c, j),
+b{i + 1} AS (SELECT pos, c, coalesce(g.v, b{i}.v) AS v FROM b{i} LEFT JOIN (SELECT pos, c, list(x ORDER BY j) AS v FROM m{i} GROUP BY pos, c) g USING (pos, c))"""
+
+
+OP13_SQL = f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, i AS pos, q[i * (len(q) // 4) + 1 : (i + 1) * (len(q) // 4)] AS v FROM k, range(4) t(i)),
+u AS (SELECT pos, v, count(*) AS n FROM p GROUP BY pos, v),
+b0 AS (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS c, v FROM p QUALIFY c < 256),
+{", ".join(_round_sql(i) for i in range(4))},
+z AS ({_nearest_sql("u", "b4")}),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', c), '' ORDER BY pos) AS code, sum(e)::BIGINT AS error FROM p JOIN z USING (pos, v) GROUP BY vec_id, label),
+s AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY pos, c)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r, s
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -140,6 +217,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
@@ -147,4 +226,6 @@ SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
     "op6_secrets": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
