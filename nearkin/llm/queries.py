@@ -10,6 +10,7 @@ from nearkin.llm import language_id, merkle, secrets, toxicity, vector_codes
 from nearkin.llm.decontaminate import contaminated
 from nearkin.llm.exact_dedup import exact_dedup
 from nearkin.llm.html_extract import extract_pages
+from nearkin.llm.hyperminhash import minhash_dedup
 from nearkin.llm.mixing import mix_sources
 from nearkin.llm.simhash import near_dedup
 from nearkin.llm.token_counts import count_tokens
@@ -65,6 +66,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_rows(table(spark, sf_dir, "embeddings"))
 
@@ -176,6 +181,26 @@ OP11_SQL = OP11_SQL.replace("{crc}", """list_reduce(list_prepend(4294967295, lis
   lambda r, b: list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))""").replace("crc % 3", "xor(crc, 4294967295) % 3")
 
 
+#: All pairs that share a shingle; equal sets have one class.
+OP12_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda p: array_to_string(w[p : p + 3], ' ')))) END AS s FROM w),
+c AS (SELECT min(rid) AS cid, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT cid, n, unnest(s) AS x FROM c),
+p AS (SELECT a.cid AS a, b.cid AS b FROM e a JOIN e b ON a.x = b.x AND a.cid < b.cid AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT cid, cid AS r FROM c UNION SELECT r.cid, l.b FROM r JOIN l ON l.a = r.r),
+m AS (SELECT r.cid, min(s.doc_id) AS component_id FROM r JOIN c ON c.cid = r.r JOIN s ON s.s = c.s GROUP BY r.cid)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN doc_id ELSE component_id END AS component_id,
+       doc_id IS NOT DISTINCT FROM CASE WHEN len(s.s) = 0 THEN doc_id ELSE component_id END AS kept
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN m USING (cid)
+"""
+
+
 def _nearest_sql(rows: str, books: str) -> str:
     """(pos, v, n, e, c): of each part the least distance, and the first entry that has it."""
     return f"""
@@ -218,6 +243,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -227,5 +253,6 @@ SQL: dict[str, str] = {
     "op6_secrets": OP6_SQL,
     "op8_warc": OP8_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_minhash_near_dedup": OP12_SQL,
     "op13_vector_codes": OP13_SQL,
 }
