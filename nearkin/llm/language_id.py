@@ -9,7 +9,8 @@ Whole texts are parsed. For speed a text's letters are laid out in segments of `
 characters (a phrase never crosses the end of one; the same rule holds for all languages), and all
 segments of a batch step through the automata together as arrays.
 
-The model is fitted on a bounded sample: at most ``train_docs`` documents per language, at most
+The model is fitted on a bounded sample, whatever repeats: at most ``train_docs`` documents per language
+(and ``SAMPLE_ROWS`` in all, but two a language), at most
 ``train_chars`` characters each of the automata, less if all tables would pass ``table_bytes`` (but
 at least ``LEAST_CHARS``), and at most the ``languages`` commonest languages. The ``letters``
 commonest letters have a code of their own; where the sample has more, as with several scripts, every other
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 256
@@ -43,6 +44,8 @@ UND = "und"
 #: Codes that letters without a code of their own share, and the least text of a language.
 HASHED = 64
 LEAST_CHARS = 200
+#: Most pieces of labelled text in the sample, of up to ``PIECE`` letters (but at least two a language).
+SAMPLE_ROWS = 8192
 
 
 def held_out(ident: Column) -> Column:
@@ -206,16 +209,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Labelled text of each language from a bounded sample of the rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()}
+    # repeated rows have one place
+    placed = rows.withColumn("place", F.pmod(F.xxhash64(F.col("id").cast("string"), "text", F.lit("language")), F.lit(1 << 30)))
+    counts = placed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("place").alias("places"))
+    top = counts.orderBy(F.col("n").desc(), "lang").limit(languages).collect()
+    sizes = {r["lang"]: r["n"] for r in top}
     if not sizes:
         return LanguageModel((), (), "")
-    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30))
-    pick = F.lit(False)
-    for lang, n in sizes.items():
-        pick = pick | ((F.col("lang") == lang) & (place < int(min(1.0, 2 * train_docs / n) * (1 << 30))))
+    each = max(2, min(2 * train_docs, SAMPLE_ROWS // len(sizes)))
+    # a row for each of at most ``languages`` languages
+    shares = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 2 * each / r["places"]) * (1 << 30))) for r in top], "lang string, below long"))
     size = F.char_length("text")
     start = F.when(size > PIECE, F.pmod(F.xxhash64("id"), size - PIECE)).otherwise(0).cast("int") + 1
-    found = rows.filter(pick).select("lang", place.alias("place"), F.substring(F.col("text"), start, F.lit(PIECE)).alias("piece")).collect()
+    some = placed.join(shares, "lang").filter("place < below").select("lang", "place", F.substring(F.col("text"), start, F.lit(PIECE)).alias("piece")).distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "piece"))
+    found = some.withColumn("nth", nth).filter(F.col("nth") <= each).collect()
     found.sort(key=lambda r: (r["lang"], r["place"], r["piece"]))
     common = Counter(c for r in found for c in r["piece"].lower() if c.isalpha())
     shared = 1 if len(common) <= letters else HASHED
