@@ -23,7 +23,7 @@ labels the prior weights stay.
 Defined results: null and empty texts score as texts without a match; texts are read whole, however
 long; repeated rows each get their row; a null doc_id is kept and scored; labels of unknown
 documents and null labels are ignored; of a document labelled more than once the largest label
-counts; an empty table gives an empty result. Only the named columns are read, so others may have
+counts; of an identifier that stands for several texts, the one with the smallest hash is learned from; an empty table gives an empty result. Only the named columns are read, so others may have
 any name.
 """
 
@@ -191,8 +191,8 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     share = min(1.0, rows / max(1, marked.count()))
     some = marked.filter(place < int(share * (1 << 30))).limit(2 * rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # the sample's size is bounded by its parameter
-    joined = texts.join(F.broadcast(some), "id")
+    # the sample's size is bounded by its parameter; of an identifier with several texts one is learned from
+    joined = texts.join(F.broadcast(some), "id").groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic"))
     return joined.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(3)))
 
 
