@@ -47,9 +47,12 @@ MORE = {
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     # from the start of a run of these letters only, so that no run is read again from each of its places
     "jwt": r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})",
-    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[ \t\r]*\n(?:[A-Za-z][A-Za-z-]*: [^\n]*\n)*[A-Za-z0-9+/= \t\r\n]+-----END [A-Z ]*PRIVATE KEY-----",
-    "url": r"[a-z][a-z0-9+.-]{1,30}://[^ \t\r\n\f\x0b/:@]{1,100}:[^ \t\r\n\f\x0b/:@]{4,}@",
+    # a header line has no two dashes in a row, so that none holds the start of a key and no line is read twice
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[ \t\r]*\n(?:[A-Za-z](?:[A-Za-z]|-[A-Za-z])*: (?:[^-\n]|-[^-\n])*-?\n)*[A-Za-z0-9+/= \t\r\n]+-----END [A-Z ]*PRIVATE KEY-----",
+    "url": r"[a-z][a-z0-9+.-]+://[^ \t\r\n\f\x0b/:@]+:[^ \t\r\n\f\x0b/:@]{4,}@",
 }
+#: Letters of a scheme; it starts with one of the first 26.
+SCHEME = "abcdefghijklmnopqrstuvwxyz0123456789+.-"
 #: What each kind needs to be in a text at all; kinds without an entry are always looked for.
 HINT = {"access": ("AKIA",), "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack": ("xox",), "jwt": ("eyJ",), "pem": ("-----BEGIN",), "url": ("://",)}
 KINDS = (*BASE, *MORE)
@@ -68,6 +71,22 @@ RULES = rule_version(list(BASE.items()), list(LEAST.items()), list(MORE.items())
 FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
+def _matches(kind: str, text: str) -> Iterator[re.Match]:
+    """The leftmost matches of a kind, which do not overlap."""
+    if kind != "url":
+        yield from COMPILED[kind].finditer(text)
+        return
+    # from each "://" back to the start of its scheme, so that a long run of letters is read once
+    at = 0
+    while (colon := text.find("://", at)) >= 0:
+        before = text[at:colon]
+        scheme = before[len(before.rstrip(SCHEME)) :].lstrip(SCHEME[26:])
+        found = COMPILED[kind].match(text, colon - len(scheme)) if len(scheme) > 1 else None
+        if found:
+            yield found
+        at = found.end() if found else colon + 3
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end) of the base spans and of all spans, in order."""
     base, more = [], []
@@ -76,7 +95,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
             group = 1 if kind == "jwt" else 0
             value = 1 if kind == "assign" else 0
             # a match is consumed whether or not it is long enough
-            found = [(m.start(group), k, m.end(group)) for m in COMPILED[kind].finditer(text) if m.end(value) - m.start(value) >= LEAST.get(kind, 0)]
+            found = [(m.start(group), k, m.end(group)) for m in _matches(kind, text) if m.end(value) - m.start(value) >= LEAST.get(kind, 0)]
             (base if kind in BASE else more).extend(found)
     return sorted(base), sorted(base + more)
 
