@@ -17,8 +17,9 @@ First, documents that can reach it: as the sums must agree in at least ``similar
 shingles, one of any set of its shingles that makes up more than the rest must be there. That set is of
 its rarest ones among all items. Then, windows that can reach it: a shared shingle counts in the windows that
 hold it, unless they hold it as often as the item already, so sums over the ends of these ranges of
-starts give what each window shares with the item, in any order. Every start that shares enough is
-built, and the exact check decides.
+starts give what each window shares with the item, in any order. Of each document and item the best
+start is built, and its words decide; should they disagree with the hashes, every start of that pair that shares
+enough is built.
 
 Defined results: null texts have no words; texts are read whole, however long; a document with fewer
 words than an item is one window; items of fewer than five words are one shingle; items without a
@@ -101,15 +102,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     placed = worded.select("row", F.size("words").alias("n"), F.expr(f"inline(array({', '.join(f'struct({k} AS width, {_hashes("words", k)} AS hashes)' for k in widths)}))"))
     counted = shingles.groupBy("hash", "width", "item", "length").agg(F.count("*").cast("int").alias("c"))
     anchors = placed.selectExpr("row", "n", "width", "posexplode(hashes) AS (place, hash)").join(small(cut(counted), BROADCAST_ROWS), ["hash", "width"])
-    starts = _starts(anchors, similarity)
+    runs = cut(_runs(anchors, similarity))
+    iw = small(items.select("item", "item_id", F.col("w").alias("iw")), BROADCAST_ROWS)
 
-    windows = starts.join(worded, "row").select("row", "item", "start", "width", F.expr("slice(words, start + 1, length)").alias("v"))
-    near = windows.join(small(items.select("item", "item_id", F.col("w").alias("iw")), BROADCAST_ROWS), "item")
-    return _verified(near, hits, similarity)
+    def scored(starts: DataFrame) -> DataFrame:
+        windows = starts.join(worded, "row").selectExpr("row", "item", "start", "hashed", "width", "slice(words, start + 1, length) AS v")
+        return _scored(windows.join(iw, "item"))
 
+    # the count by hashes is that of the words, but for hashes that stand for several shingles: then all starts are built
+    best = runs.groupBy("row", "item", "length", "width").agg(F.max(F.struct("hashed", (-F.col("start")).alias("back"))).alias("m"))
+    first = cut(scored(best.selectExpr("row", "item", "length", "width", "-m.back AS start", "m.hashed AS hashed")))
+    agreed = first.filter("abs(similarity - hashed) < 1e-9")
+    again = first.filter("abs(similarity - hashed) >= 1e-9").select("row", "item").distinct()
+    found = agreed if again.isEmpty() else agreed.unionByName(scored(runs.join(again, ["row", "item"], "left_semi").withColumn("start", F.explode(F.expr("sequence(start, until - 1)")))))
+    named = found.filter(F.col("similarity") >= similarity).join(hits.select("row", "doc_id"), "row")
+    top = named.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("m"))
+    return top.select("doc_id", "item_id", "m.similarity", (-F.col("m.back")).cast("long").alias("start"), F.col("m.n").cast("long").alias("n_words"))
 
-def _starts(anchors: DataFrame, similarity: float) -> DataFrame:
-    """(row, item, length, width, start) of the windows whose shared shingles reach ``similarity``.
+
+def _runs(anchors: DataFrame, similarity: float) -> DataFrame:
+    """(row, item, length, width, start, until, hashed): runs of window starts (``until`` not included) whose
+    similarity by shingle hashes is ``hashed``, at least ``similarity``.
 
     A place of a shingle that the item has c times counts from the start after the c-th place before
     it to the place itself: of equal shingles in a window, the first c count.
@@ -122,18 +135,16 @@ def _starts(anchors: DataFrame, similarity: float) -> DataFrame:
     order = Window.partitionBy("row", "item", "n", "length", "width").orderBy("start")
     sums = ends.withColumns({"shared": F.sum("d").over(order), "until": F.lead("start").over(order)}).filter("shared > 0")
     both = F.expr("least(n, length) + length - 2 * (width - 1)") - F.col("shared")
-    return sums.filter(F.col("shared") / both >= similarity).selectExpr("row", "item", "length", "width", "explode(sequence(start, until - 1)) AS start")
+    return sums.withColumn("hashed", F.col("shared") / both).filter(F.col("hashed") >= similarity).select("row", "item", "length", "width", "start", "until", "hashed")
 
 
-def _verified(near: DataFrame, hits: DataFrame, similarity: float) -> DataFrame:
-    """The exact weighted similarity of each candidate; the best window of each document and item."""
+def _scored(near: DataFrame) -> DataFrame:
+    """(row, item, item_id, start, n, hashed, similarity): the exact weighted similarity of each window ``v`` and item ``iw``."""
     parts = "transform(sequence(0, greatest(size({0}) - width, 0)), i -> concat_ws(' ', slice({0}, i + 1, width)))"
-    sides = near.select("row", "item", "item_id", "start", F.size("v").alias("n"), F.expr(f"transform({parts.format('v')}, x -> struct(x AS s, 1L AS a, 0L AS b))").alias("mine"), F.expr(f"transform({parts.format('iw')}, x -> struct(x AS s, 0L AS a, 1L AS b))").alias("theirs"))
-    each = sides.select("row", "item", "item_id", "start", "n", F.explode(F.concat("mine", "theirs")).alias("p"))
-    counts = each.groupBy("row", "item", "item_id", "start", "n", "p.s").agg(F.sum("p.a").alias("a"), F.sum("p.b").alias("b"))
-    scored = counts.groupBy("row", "item", "item_id", "start", "n").agg((F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b"))).alias("similarity")).filter(F.col("similarity") >= similarity)
-    best = scored.join(hits.select("row", "doc_id"), "row").groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("m"))
-    return best.select("doc_id", "item_id", "m.similarity", (-F.col("m.back")).cast("long").alias("start"), F.col("m.n").cast("long").alias("n_words"))
+    sides = near.select("row", "item", "item_id", "start", "hashed", F.size("v").alias("n"), F.expr(f"transform({parts.format('v')}, x -> struct(x AS s, 1L AS a, 0L AS b))").alias("mine"), F.expr(f"transform({parts.format('iw')}, x -> struct(x AS s, 0L AS a, 1L AS b))").alias("theirs"))
+    by = ["row", "item", "item_id", "start", "n", "hashed"]
+    counts = sides.select(*by, F.explode(F.concat("mine", "theirs")).alias("p")).groupBy(*by, "p.s").agg(F.sum("p.a").alias("a"), F.sum("p.b").alias("b"))
+    return counts.groupBy(*by).agg((F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b"))).alias("similarity"))
 
 
 def _same(text_col: str) -> Column:
