@@ -52,7 +52,7 @@ MANTISSA = 10
 #: The chance that registers of different least hashes are equal, whatever the size of the sets.
 COLLISION = 2.0 ** -(MANTISSA + 2)
 #: The least estimate of a pair that is verified, and of one that the first round takes.
-LEAST, STRONG = 0.62, 0.8
+LEAST, STRONG = 0.64, 0.8
 #: Most sets of a bucket that are compared in one piece.
 BLOCK = 512
 #: Most classes that may be broadcast by name.
@@ -163,7 +163,7 @@ def forest(cids: np.ndarray, n: np.ndarray, registers: np.ndarray) -> Iterator[t
     left[0] = False
     while left.any():
         e = np.where(_may(n, n[v]), estimates(registers, registers[v]), -1)
-        better = e > best
+        better = left & (e > best)
         best[better], by[better] = e[better], v
         v = int(np.where(left, best, -2).argmax())
         if best[v] >= STRONG:
