@@ -90,8 +90,8 @@ def sketch(hashes: np.ndarray, kind: int) -> np.ndarray:
     bits = CLASSES[kind][1]
     functions = REGISTERS >> bits
     least = np.full(REGISTERS, EMPTY)
-    # by pieces, so that a very long text takes no more memory than its hashes
-    step = max(1, (1 << 20) // functions)
+    # by pieces of a megabyte, which are all the memory that a text takes beside its hashes
+    step = max(1, (1 << 17) // functions)
     for i in range(0, len(hashes), step):
         v = _mixed(hashes[None, i : i + step] ^ SEEDS[:functions, None])
         if bits:
