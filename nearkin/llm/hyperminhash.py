@@ -136,11 +136,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of a stream sorted by (key, block): (side, cid, label, n, registers) of each block, which is bounded."""
+    """Of a stream sorted by (key, block): (side, cid, label, n, band, registers) of each block, which is bounded."""
     now, held = None, []
     for batch in batches:
-        key, block, *rest = (batch.column(i).to_numpy() for i in range(6))
-        registers = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u2").reshape(-1, REGISTERS)
+        key, block, *rest = (batch.column(i).to_numpy() for i in range(7))
+        registers = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<u2").reshape(-1, REGISTERS)
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])]) if len(key) else []
         for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
             if (key[s], block[s]) != now:
@@ -173,18 +173,25 @@ def forest(cids: np.ndarray, n: np.ndarray, registers: np.ndarray) -> Iterator[t
         yield cids[by[tied]], cids[tied]
 
 
-def across(side: np.ndarray, cids: np.ndarray, label: np.ndarray, n: np.ndarray, registers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different labels whose estimate allows a link: all within side 2, and side 0 with side 1."""
+def first_band(registers: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The first band in which sketches agree with one (0 if in none)."""
+    return (registers == of).reshape(-1, BANDS, ROWS).all(2).argmax(1)
+
+
+def across(side: np.ndarray, cids: np.ndarray, label: np.ndarray, n: np.ndarray, band: np.ndarray, registers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different labels whose estimate allows a link: all within side 2, and side 0 with side 1. A pair is given
+    in the bucket of its first common band only, which holds both."""
     for i in np.flatnonzero(side != 1):
         of = (side == 1) if side[i] == 0 else np.arange(len(cids)) > i
         at = np.flatnonzero(of & (label != label[i]) & _may(n, n[i]))
         if len(at):
             at = at[estimates(registers[at], registers[i]) >= LEAST]
+            at = at[first_band(registers[at], registers[i]) == band[i]]
             yield np.full(len(at), cids[i]), cids[at]
 
 
 def _pairs(rows: DataFrame, first: bool) -> DataFrame:
-    """(a, b), a < b, of the blocks of (key, block, side, cid, label, n, registers)."""
+    """(a, b), a < b, of the blocks of (key, block, side, cid, label, n, band, registers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -193,8 +200,8 @@ def _pairs(rows: DataFrame, first: bool) -> DataFrame:
             x, y = (np.concatenate(v) if v else np.array([], np.int64) for v in (a, b))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-        for side, cids, label, n, registers in _pieces(batches):
-            for x, y in forest(cids, n, registers) if first else across(side, cids, label, n, registers):
+        for side, cids, label, n, band, registers in _pieces(batches):
+            for x, y in forest(cids, n, registers) if first else across(side, cids, label, n, band, registers):
                 a.append(x)
                 b.append(y)
             if sum(map(len, a)) > 100_000:
@@ -202,13 +209,13 @@ def _pairs(rows: DataFrame, first: bool) -> DataFrame:
                 a, b = [], []
         yield out()
 
-    dealt = rows.select("key", "block", "side", "cid", "label", "n", "registers").repartition("key", "block").sortWithinPartitions("key", "block", "cid")
+    dealt = rows.select("key", "block", "side", "cid", "label", "n", "band", "registers").repartition("key", "block").sortWithinPartitions("key", "block", "cid")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows (key, cid, kind, size, label) of buckets with several labels by the blocks in which they are compared: block, side."""
-    whole = rows.filter(F.col("size") <= BLOCK).select("key", "cid", "kind", "label", F.lit(0).cast("long").alias("block"), F.lit(2).alias("side"))
+    """Rows (key, band, cid, kind, size, label) of buckets with several labels by the blocks in which they are compared: block, side."""
+    whole = rows.filter(F.col("size") <= BLOCK).select("key", "band", "cid", "kind", "label", F.lit(0).cast("long").alias("block"), F.lit(2).alias("side"))
     large = cut(rows.filter(F.col("size") > BLOCK))
     if large.isEmpty():
         return whole
@@ -221,8 +228,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
     places = F.expr("""CASE WHEN major THEN transform(sequence(0, ys - 1), y -> struct(at AS x, y AS y, 0 AS side))
       ELSE concat(transform(sequence(0, xs - 1), x -> struct(x AS x, at AS y, 1 AS side)),
                   transform(sequence(0, ys - 1), z -> struct(-1 - least(at, z) AS x, greatest(at, z) AS y, CASE WHEN z = at THEN 2 WHEN at < z THEN 0 ELSE 1 END AS side))) END""")
-    dealt = known.withColumn("at", at).select("key", "cid", "kind", "label", F.inline(places))
-    return whole.unionByName(dealt.select("key", "cid", "kind", "label", F.expr("x * 4294967296 + y").alias("block"), "side"))
+    dealt = known.withColumn("at", at).select("key", "band", "cid", "kind", "label", F.inline(places))
+    return whole.unionByName(dealt.select("key", "band", "cid", "kind", "label", F.expr("x * 4294967296 + y").alias("block"), "side"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -259,12 +266,12 @@ def near_links(classes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text
     shared = cut(keyed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("size > 1"))
 
     salt = F.pmod(F.xxhash64("key", "cid"), F.ceil(F.col("size") / BLOCK))
-    start = shared.filter(F.col("band") < FIRST).select("key", "cid", "kind", salt.cast("long").alias("block"), F.lit(2).alias("side"), F.lit(0).cast("long").alias("label"))
+    start = shared.filter(F.col("band") < FIRST).select("key", "band", "cid", "kind", salt.cast("long").alias("block"), F.lit(2).alias("side"), F.lit(0).cast("long").alias("label"))
     strong = cut(_pairs(start.join(each, ["cid", "kind"]), True))
     links = _verified(strong, classes, docs, id_col, text_col, width)
 
     roots = connected_components(links)
-    labelled = shared.join(roots, shared["cid"] == roots["node"], "left").select("key", "cid", "kind", "size", F.coalesce("component", "cid").alias("label"))
+    labelled = shared.join(roots, shared["cid"] == roots["node"], "left").select("key", "band", "cid", "kind", "size", F.coalesce("component", "cid").alias("label"))
     same = Window.partitionBy("key")
     mixed = labelled.withColumns({"lo": F.min("label").over(same), "hi": F.max("label").over(same)}).filter("lo <> hi").drop("lo", "hi")
     rest = cut(_pairs(_blocks(cut(mixed)).join(each, ["cid", "kind"]), False))
