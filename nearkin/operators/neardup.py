@@ -17,7 +17,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.functions.bits import BANDS, band_value, clamp_threshold, hamming, signed
+from nearkin.functions.bits import BAND_BITS, BANDS, band_value, clamp_threshold, hamming, signed
 from nearkin.operators.components import connected_components
 from nearkin.runtime import cut
 
@@ -53,22 +53,36 @@ def band_candidates(hashes: DataFrame) -> DataFrame:
 def candidate_stats(hashes: DataFrame) -> DataFrame:
     """(comparisons, naive_comparisons): pairs that share a band, and all pairs.
 
-    The pairs are counted, not listed: by inclusion and exclusion over the 255 sets of bands, from
-    the sizes of the groups that agree on a set.
+    The pairs are counted, not listed: by inclusion and exclusion over the sets of bands, from the
+    sizes of the groups that agree on a set. Copies of a hash are counted by themselves, so a group of one hash adds nothing,
+    and neither does what it is cut into by more bands. So sets grow level by level, and a hash takes a further band only
+    where its group has another one. Levels at which nearly every group has (fewer values than hashes) are made at once.
     """
-    sets = []
-    for size in range(1, BANDS + 1):
-        for bands in combinations(range(BANDS), size):
-            mask = signed(sum(255 << 8 * b for b in bands))
-            sets.append(F.struct(F.lit(mask).alias("mask"), F.lit(1 if size % 2 else -1).alias("sign")))
-    # equal hashes are one row with a count before the 255 keys are made
-    distinct = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    keyed = distinct.select("hash", "n", F.inline(F.array(*sets))).select("n", "mask", "sign", F.col("hash").bitwiseAND(F.col("mask")).alias("key"))
-    groups = keyed.groupBy("mask", "sign", "key").agg(F.sum("n").alias("n"))
-    pairs = groups.agg(F.coalesce(F.sum(F.expr("sign * (n * (n - 1) div 2)")), F.lit(0)).alias("comparisons"))
+    distinct = cut(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
+    level = first_level(distinct.count())
+    sets = [F.struct(F.lit(signed(sum(255 << 8 * b for b in bands))).cast("long").alias("mask"), F.lit(max(bands)).alias("top"), F.lit(size).alias("size")) for size in range(1, level + 1) for bands in combinations(range(BANDS), size)]
+    keyed = distinct.select("hash", "n", F.inline(F.array(*sets)))
+    counts = [distinct.select(F.expr("coalesce(sum(n * (n - 1) div 2), 0)").alias("pairs"))]
+    while True:
+        key = F.col("hash").bitwiseAND(F.col("mask"))
+        groups = cut(keyed.groupBy("mask", "size", key.alias("key")).agg(F.sum("n").alias("n"), F.expr("sum(n * (n - 1) div 2)").alias("copies"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
+        sign = F.when(F.col("size") % 2 == 1, 1).otherwise(-1)
+        counts.append(groups.select(F.coalesce(F.sum(sign * (F.expr("n * (n - 1) div 2") - F.col("copies"))), F.lit(0)).alias("pairs")))
+        if level == BANDS or groups.isEmpty():
+            break
+        others = groups.filter(F.col("size") == level).select("mask", "key")
+        left = keyed.filter((F.col("size") == level) & (F.col("top") < BANDS - 1)).withColumn("key", key).join(others, ["mask", "key"], "left_semi")
+        keyed = left.select("hash", "n", "mask", F.explode(F.sequence(F.col("top") + 1, F.lit(BANDS - 1))).alias("top")).withColumns({"mask": F.expr("mask | shiftleft(255L, 8 * top)"), "size": F.lit(level + 1)})
+        level += 1
+    pairs = reduce(DataFrame.unionByName, counts).agg(F.sum("pairs").cast("long").alias("comparisons"))
     return pairs.crossJoin(hashes.agg(F.expr("count(1) * (count(1) - 1) div 2").alias("naive_comparisons")))
 
 
+def first_level(rows: int) -> int:
+    """The level up to which sets of bands are made at once: the first one with more values than hashes."""
+    return min(BANDS, max(1, rows).bit_length() // BAND_BITS + 1)
+
+
 #: Most blocks that a key takes.
 MOST_FREE = 6
 

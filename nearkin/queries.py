@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from nearkin.functions import bits, exif, paths, raster
 from nearkin.functions.signature import TOKENS, text_signatures
 from nearkin.operators import keeper, neardup, organize, ranks
-from nearkin.plans import actions
+from nearkin.plans import actions, resume
 from nearkin.plans.library import PRESETS, ScanResult, scan_photos
-from nearkin.runtime import cut, ship, spread
+from nearkin.runtime import cut, new_folder, ship, spread
 from nearkin.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -336,8 +336,7 @@ RETOUCHED_SQL = f"SELECT 2 * vec_id + c AS vec_id, CASE c WHEN 1 THEN list_conca
 
 @query("scan_photos_t5", f"WITH RECURSIVE {dhash_sql(RETOUCHED_SQL)}, good AS (SELECT vec_id AS idx, hash FROM dhash WHERE vec_id % 9 <> 0), {near_sql(5, 'good')} SELECT group_id, idx FROM member")
 def scan_photos_t5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = F.expr("inline(array(struct(2 * vec_id AS vec_id, p), struct(2 * vec_id + 1 AS vec_id, concat(array(255), slice(p, 2, 63)) AS p)))")
-    return scan_photos(raster_photos(rasters(spark, sf_dir).select(both)), PRESETS["loose"]).memberships
+    return scan_photos(raster_photos(retouched(spark, sf_dir)), PRESETS["loose"]).memberships
 
 
 @query("thumbnails", f"WITH {box_sql(12, 12)} SELECT vec_id AS photo_idx, i, v FROM grid WHERE vec_id % 9 <> 0")
@@ -381,6 +380,39 @@ def oriented_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_raster(spark, sf_dir, images.oriented_hashes)
 
 
+#: Photos of one batch of a scan that is cancelled and resumed.
+BATCH = 100
+
+
+def in_batches(spark: SparkSession, sf_dir: str, rows: DataFrame, folder: str, keep: int | None = None) -> ScanResult:
+    """A scan of rasters by batches; with ``keep`` it is cancelled after so many of them."""
+    found = rows.select(F.col("vec_id").alias("photo_idx"), F.format_string("/dump/%d.gray", "vec_id").alias("path"), F.when(F.col("vec_id") % 9 == 0, 63).otherwise(64).cast("long").alias("file_size"))
+    # only the rows of a batch are read as photos
+    decode = lambda batch: raster_photos(rows.join(batch.select(F.col("photo_idx").alias("vec_id")), "vec_id", "left_semi"))
+    done: list[int] = []
+    stop = lambda: keep is not None and len(done) >= keep
+    return resume.scan_batches(found, decode, folder, PRESETS["loose"], BATCH, cancelled=stop, on_batch=lambda p: done.append(p.done))
+
+
+def retouched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = F.expr("inline(array(struct(2 * vec_id AS vec_id, p), struct(2 * vec_id + 1 AS vec_id, concat(array(255), slice(p, 2, 63)) AS p)))")
+    return rasters(spark, sf_dir).select(both)
+
+
+@query("scan_cancelled", f"SELECT * FROM ({SEEN_SQL}) WHERE photo_idx < {3 * BATCH}")
+def scan_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that is cancelled after three batches keeps what it has decoded; the batches are those of the whole table."""
+    return _seen(in_batches(spark, sf_dir, rasters(spark, sf_dir), new_folder(spark, "scan"), 3).photos)
+
+
+@query("scan_resumed", f"WITH RECURSIVE {dhash_sql(RETOUCHED_SQL)}, good AS (SELECT vec_id AS idx, hash FROM dhash WHERE vec_id % 9 <> 0), {near_sql(5, 'good')} SELECT group_id, idx FROM member")
+def scan_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that is cancelled after two batches and taken up again gives the groups of one scan."""
+    rows, folder = cut(retouched(spark, sf_dir)), new_folder(spark, "scan")
+    in_batches(spark, sf_dir, rows, folder, 2)
+    return in_batches(spark, sf_dir, rows, folder).memberships
+
+
 # Capture times
 
 def _jpeg(head: str, date: Column) -> Column:
@@ -547,6 +579,28 @@ def organize_occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pos", "source", F.regexp_replace("destination", r" \(\d+\)", "").alias("folder_name"), number.alias("number"))
 
 
+#: Of each name some numbers are occupied in each folder, at distances of two to six.
+GAPS_SQL = f"""{PLAN_SQL},
+family AS (SELECT *, regexp_replace(destination, ' \\(\\d+\\)', '') AS plain, regexp_extract(source, '(\\d+)', 1)::INT % 5 + 2 AS step FROM plan),
+free AS (SELECT step, n, row_number() OVER (PARTITION BY step ORDER BY n) AS k FROM range(2, 7) s(step), range(1, 50000) t(n) WHERE n % step <> 1 OR n > 60),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY pos) AS k FROM family)
+SELECT pos, plain, n AS number FROM ranked JOIN free USING (step, k)"""
+
+
+@query("organize_gaps", GAPS_SQL)
+def organize_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupied numbers with gaps: 1, then every second to sixth one up to 60."""
+    photos = order_photos(spark, sf_dir)
+    plain = plan(spark, sf_dir).select(F.regexp_replace("destination", r" \(\d+\)", "").alias("plain")).distinct()
+    step = F.regexp_extract("plain", r"IMG_(\d+)", 1).cast("int") % 5 + 2
+    number = F.explode(F.sequence(F.lit(1), F.lit(60), step)).alias("n")
+    path = F.when(F.col("n") == 1, F.col("plain")).otherwise(F.regexp_replace("plain", r"\.jpg$", F.concat(F.lit(" ("), "n", F.lit(").jpg"))))
+    occupied = cut(plain.select("plain", number).select(path.alias("path")))
+    out = organize.organise_plan(photos, organize.selection_of(photos), "/photos/", occupied)
+    found = F.regexp_extract("destination", r" \((\d+)\)", 1)
+    return out.select("pos", F.regexp_replace("destination", r" \(\d+\)", "").alias("plain"), F.when(found == "", 1).otherwise(found.try_cast("long")).alias("number"))
+
+
 @query("path_rewrite", f"""{PLAN_SQL},
 m AS (SELECT source, min(destination) AS destination FROM plan WHERE pos % 2 = 0 GROUP BY source),
 f AS (SELECT source, min(pos) AS pos FROM plan GROUP BY source)

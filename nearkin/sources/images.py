@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from nearkin.functions.exif import DATE_TYPE, PARTS, PREFIX_BYTES, exif_date, read_date, read_orientation
+from nearkin.functions.exif import DATE_TYPE, PARTS, PREFIX_BYTES, read_date, read_orientation
 from nearkin.functions.paths import PHOTO_EXTENSIONS, has_photo_extension
 from nearkin.functions.raster import np_box_downscale, np_difference_hash, np_laplacian_variance
 from nearkin.operators.ranks import numbered
@@ -148,25 +148,25 @@ def thumbnails(photos: DataFrame, content: DataFrame, decoder: Decoder, side: in
 
 
 def photos_with(paths: DataFrame, content: DataFrame, decoder: Decoder) -> DataFrame:
-    """As ``decoded_photos`` with a decoder of one's own; ``content``: (path, content)."""
+    """As ``decoded_photos`` with a decoder of one's own; ``content``: (path, content). Contents are joined and read once:
+    what is decoded and the capture time come from the same pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                found = None if r.content is None else decoder(r.path, bytes(r.content))
+                data = None if r.content is None else bytes(r.content)
+                found = None if data is None else decoder(r.path, data)
                 if found is None:
-                    rows.append((r.photo_idx, 0, 0.0, 0, 0, False))
+                    rows.append((r.photo_idx, r.path, r.file_size, 0, 0.0, None, 0, 0, False))
                 else:
                     gray, width, height = found
-                    rows.append((r.photo_idx, np_difference_hash(gray), np_laplacian_variance(gray), width, height, True))
-            yield pd.DataFrame(rows, columns=["photo_idx", "hash", "sharpness", "width", "height", "decoded"])
+                    date = read_date(data[:PREFIX_BYTES])
+                    rows.append((r.photo_idx, r.path, r.file_size, np_difference_hash(gray), np_laplacian_variance(gray), date and dict(zip(PARTS, date, strict=True)), width, height, True))
+            yield pd.DataFrame(rows, columns=["photo_idx", *[x.split()[0] for x in FEATURES.replace(", ", "\n").splitlines()]])
 
     both = paths.join(content.select("path", "content"), "path", "left")
-    seen = both.select("photo_idx", "path", "content").mapInPandas(run, "photo_idx long, hash long, sharpness double, width int, height int, decoded boolean")
-    dated = both.select("photo_idx", "path", "file_size", exif_date(F.col("content")).alias("date"))
-    out = dated.join(seen, "photo_idx")
-    return out.select("photo_idx", "path", "file_size", "hash", "sharpness", F.when(F.col("decoded"), F.col("date")).alias("date"), "width", "height", "decoded")
+    return both.select("photo_idx", "path", "file_size", "content").mapInPandas(run, f"photo_idx long, {FEATURES}")
 
 
 def photos_from_rasters(paths: DataFrame, rasters: DataFrame) -> DataFrame:
