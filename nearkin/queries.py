@@ -14,13 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkin.functions import bits, exif, paths, raster
+from nearkin.functions import bits, exif, exif_writer, paths, raster, scenes
+from nearkin.functions.exif_writer import Entry
 from nearkin.functions.signature import TOKENS, text_signatures
 from nearkin.operators import keeper, neardup, organize, ranks
 from nearkin.plans import actions, resume
 from nearkin.plans.library import PRESETS, ScanResult, scan_photos
 from nearkin.runtime import cut, new_folder, ship, spread
-from nearkin.sources import images
+from nearkin.sources import datasource, images
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,6 +141,23 @@ def band_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("idx").alias("vec_id"), "band", "band_value")
 
 
+#: A frame of each raster with noise of its own, and that frame out of focus: the sequence step by step.
+FRAMES_SQL = f"""
+WITH RECURSIVE px AS ({PIXELS_SQL}),
+s AS (SELECT vec_id, 0 AS i, vec_id::HUGEINT AS state FROM px UNION ALL SELECT vec_id, i + 1, (state * 1664525 + 1013904223) % 4294967296 FROM s WHERE i < 64),
+f AS (SELECT vec_id, i - 1 AS i, greatest(0, least(255, p[i] + ((state // 65536) % 25 - 12)))::INT AS v FROM s JOIN px USING (vec_id) WHERE i > 0),
+a AS (SELECT vec_id, list(v ORDER BY i) AS q FROM f GROUP BY vec_id)
+SELECT vec_id, i::INT AS i, v, CASE WHEN i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6 THEN (v + q[i] + q[i + 2] + q[i - 7] + q[i + 9]) // 5 ELSE v END AS soft
+FROM f JOIN a USING (vec_id)"""
+
+
+@query("second_frames", FRAMES_SQL)
+def second_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noise = rasters(spark, sf_dir).select("vec_id", scenes.noisy(F.col("p"), 64, 12, F.col("vec_id")).alias("v"))
+    both = F.arrays_zip("v", scenes.blurred(F.col("v"), 8, 8).alias("soft"))
+    return noise.select("vec_id", F.posexplode(both).alias("i", "x")).select("vec_id", "i", "x.v", "x.soft")
+
+
 # Groups of documents
 
 SIGNATURE_SQL = f"""
@@ -330,6 +348,15 @@ def photos_own_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seen(images.photos_with(files.select("photo_idx", "path", "file_size"), files, square))
 
 
+@query("photos_format", f"SELECT '/dump/' || photo_idx || '.gray' AS path, * EXCLUDE photo_idx FROM ({SEEN_SQL})")
+def photos_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files, packed into a table of contents, through the data source of photos."""
+    folder = new_folder(spark, "packed")
+    square_files(rasters(spark, sf_dir)).select("path", "content").write.parquet(folder)
+    found = datasource.register(spark).read.format("photos").option("decoder", f"{__name__}:square").option("packed", "true").load(folder)
+    return found.select("path", "file_size", "hash", F.round("sharpness", 6).alias("sharpness"), "width", "height", "decoded")
+
+
 #: Each raster and a copy with a white corner.
 RETOUCHED_SQL = f"SELECT 2 * vec_id + c AS vec_id, CASE c WHEN 1 THEN list_concat([255], p[2:]) ELSE p END AS p FROM ({PIXELS_SQL}), range(2) t(c)"
 
@@ -453,6 +480,31 @@ def exif_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(spark, sf_dir, LITTLE, text).select("o_orderkey", F.col("date").isNotNull().alias("dated"))
 
 
+#: Lengths: four entries of the main directory end at 62, the capture directory of two at its values' end.
+WRITTEN_SQL = """
+WITH v AS (SELECT o_orderkey, o_orderpriority AS make, o_orderstatus AS artist, strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') AS date, strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') AS shown, o_orderkey % 8 + 1 AS turn FROM orders),
+l AS (SELECT *, length(make) + 1 AS mc, (length(make) + 2) // 2 * 2 AS ml FROM v),
+b AS (
+  SELECT *, '4D4D002A00000008' || '0004' || '010F0002' || printf('%08X', mc) || '0000003E' || '01120003' || '00000001' || printf('%04X', turn) || '0000'
+    || '013B0002' || '00000002' || hex(artist) || '000000' || '87690004' || '00000001' || printf('%08X', 62 + ml) || '00000000'
+    || hex(make) || CASE WHEN mc % 2 = 1 THEN '0000' ELSE '00' END
+    || '0002' || '90030002' || '00000014' || printf('%08X', 92 + ml) || '90040002' || '00000014' || printf('%08X', 112 + ml) || '00000000' || hex(date) || '00' || hex(shown) || '00' AS tiff FROM l)
+SELECT o_orderkey, 'FFD8FFE1' || printf('%04X', length(tiff) // 2 + 8) || '457869660000' || tiff || 'FFD9' AS jpeg, replace(date[:10], ':', '-') || date[11:] AS taken, turn::INT AS turn FROM b"""
+
+
+@query("exif_write", WRITTEN_SQL)
+def exif_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with texts of different lengths in both directories, written big-endian, and read back."""
+    date = F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")
+    turn = (F.col("o_orderkey") % 8 + 1).cast("int")
+    main = [Entry(0x010F, exif_writer.ASCII, F.col("o_orderpriority")), Entry(0x013B, exif_writer.ASCII, F.col("o_orderstatus")), Entry(exif.TAG_ORIENTATION, exif_writer.SHORT, turn)]
+    capture = [Entry(exif.TAG_ORIGINAL, exif_writer.ASCII, date), Entry(exif.TAG_DIGITIZED, exif_writer.ASCII, date)]
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", exif_writer.exif_jpeg(main, capture, little=False).alias("data"))
+    tags = images._tags("data")
+    taken = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", *[tags[k] for k in PARTS])
+    return rows.select("o_orderkey", F.hex("data").alias("jpeg"), taken.alias("taken"), tags["orientation"].alias("turn"))
+
+
 @query("format_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS shown FROM orders")
 def format_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(spark, sf_dir, LITTLE).select("o_orderkey", exif.format_date(F.col("date")).alias("shown"))
