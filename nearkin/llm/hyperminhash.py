@@ -14,8 +14,9 @@ its estimate is below ``LEAST`` (less than 1e-9).
 Only components are asked for, so no group gives all its pairs. Equal sets are one class first (partial
 aggregation). A first round takes eight bands and gives from each bucket a spanning forest of the largest
 estimates only; it is verified and joined into components. A second round takes all bands, drops buckets whose sets
-are of one component by then, and gives pairs of different components, so nothing is lost. A bucket of more than ``BLOCK``
-sets is never one task: the first round deals it into blocks; in the second, the sets of its commonest component,
+are of one component by then, and gives each set's best partner in another component. A third round does so again, and gives
+all pairs of different components, so nothing is lost. A bucket of more than ``BLOCK``
+sets is never one task: the first round deals it into blocks; in the others, the sets of its commonest component,
 which need no comparison with each other, are dealt into blocks, and each meets the other sets block by block.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ with A-Z lowered; a text of fewer words than a shingle is one
@@ -51,8 +52,8 @@ CLASSES = ((1, 0), (32, 2), (128, 4), (512, 6))
 MANTISSA = 10
 #: The chance that registers of different least hashes are equal, whatever the size of the sets.
 COLLISION = 2.0 ** -(MANTISSA + 2)
-#: The least estimate of a pair that is verified, and of one that the first round takes.
-LEAST, STRONG = 0.64, 0.8
+#: The least estimate of a pair that is verified, of one that the second round takes, and of one that the first round takes.
+LEAST, LIKELY, STRONG = 0.64, 0.74, 0.8
 #: Most sets of a bucket that are compared in one piece.
 BLOCK = 512
 #: Most classes that may be broadcast by name.
@@ -190,8 +191,20 @@ def across(side: np.ndarray, cids: np.ndarray, label: np.ndarray, n: np.ndarray,
             yield np.full(len(at), cids[i]), cids[at]
 
 
-def _pairs(rows: DataFrame, first: bool) -> DataFrame:
-    """(a, b), a < b, of the blocks of (key, block, side, cid, label, n, band, registers)."""
+def best(side: np.ndarray, cids: np.ndarray, label: np.ndarray, n: np.ndarray, registers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each set its most similar one of another label, if that may be a link: within side 2, and of side 1 in side 0."""
+    for i in np.flatnonzero(side != 0):
+        of = (side == 0) if side[i] == 1 else np.ones(len(cids), bool)
+        at = np.flatnonzero(of & (label != label[i]) & _may(n, n[i]))
+        if len(at):
+            e = estimates(registers[at], registers[i])
+            k = int(e.argmax())
+            if e[k] >= LIKELY:
+                yield cids[i : i + 1], cids[at[k] : at[k] + 1]
+
+
+def _pairs(rows: DataFrame, what: str) -> DataFrame:
+    """(a, b), a < b, by ``forest``, ``best`` or ``across`` (``all``) of the blocks of (key, block, side, cid, label, n, band, registers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -201,7 +214,8 @@ def _pairs(rows: DataFrame, first: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
         for side, cids, label, n, band, registers in _pieces(batches):
-            for x, y in forest(cids, n, registers) if first else across(side, cids, label, n, band, registers):
+            found = forest(cids, n, registers) if what == "forest" else best(side, cids, label, n, registers) if what == "best" else across(side, cids, label, n, band, registers)
+            for x, y in found:
                 a.append(x)
                 b.append(y)
             if sum(map(len, a)) > 100_000:
@@ -267,15 +281,16 @@ def near_links(classes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text
 
     salt = F.pmod(F.xxhash64("key", "cid"), F.ceil(F.col("size") / BLOCK))
     start = shared.filter(F.col("band") < FIRST).select("key", "band", "cid", "kind", salt.cast("long").alias("block"), F.lit(2).alias("side"), F.lit(0).cast("long").alias("label"))
-    strong = cut(_pairs(start.join(each, ["cid", "kind"]), True))
+    strong = cut(_pairs(start.join(each, ["cid", "kind"]), "forest"))
     links = _verified(strong, classes, docs, id_col, text_col, width)
-
-    roots = connected_components(links)
-    labelled = shared.join(roots, shared["cid"] == roots["node"], "left").select("key", "band", "cid", "kind", "size", F.coalesce("component", "cid").alias("label"))
-    same = Window.partitionBy("key")
-    mixed = labelled.withColumns({"lo": F.min("label").over(same), "hi": F.max("label").over(same)}).filter("lo <> hi").drop("lo", "hi")
-    rest = cut(_pairs(_blocks(cut(mixed)).join(each, ["cid", "kind"]), False))
-    return links.unionByName(_verified(rest, classes, docs, id_col, text_col, width))
+    for what in ("best", "all"):
+        roots = connected_components(links)
+        labelled = shared.join(roots, shared["cid"] == roots["node"], "left").select("key", "band", "cid", "kind", "size", F.coalesce("component", "cid").alias("label"))
+        same = Window.partitionBy("key")
+        mixed = labelled.withColumns({"lo": F.min("label").over(same), "hi": F.max("label").over(same)}).filter("lo <> hi").drop("lo", "hi")
+        rest = cut(_pairs(_blocks(cut(mixed)).join(each, ["cid", "kind"]), what))
+        links = links.unionByName(_verified(rest, classes, docs, id_col, text_col, width))
+    return links
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
