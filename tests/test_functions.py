@@ -1,5 +1,6 @@
 """Hashes, rasters, capture times and paths."""
 
+import random
 import struct
 
 import numpy as np
@@ -148,6 +149,46 @@ def test_exif_precedence():
     assert exif.read_orientation(LE) == 1
 
 
+def hostile_files():
+    rng = random.Random(5)
+    t, xmp = [GOOD, BAD, OTHER], b"\xff\xe1" + struct.pack(">H", 12) + b"http://x\0\0"
+    subs = [(), [(0x9004, 2)], [(0x9003, 1), (0x9004, 2)], [(0x9003, 0), (0x9003, 1)], [(0x9003, 1)], [(0x9003, 0), (0x9003, 2), (0x9004, 1)]]
+    whole = [tiff_jpeg(e, sub, b, t) for e in ([], [(0x132, 0)], [(0x132, 0), (0x132, 1)], [(0x132, 1), (0x132, 2)]) for sub in subs for b in (b"", xmp)]
+    few = b"\xff\xe0\x00\x02"
+    # fill bytes, bare markers, more segments than a tier has steps, the most a prefix holds, and no end at all
+    befores = [b"\xff\xff\xff\x01\xff\xd3", few * 40, few * 1100, few * 5000, few * 40000, b"\xff" * 70, b"\xff" * 5000, b"\xff" * 140000, b"\xff\xd9", b"\xff\xda", b"\xff\xe0\x00\x01", b"\xff\xe0\xff\xff", b"\x00", tiff_jpeg([(0x132, 1)], texts=t)[2:-2]]
+    whole += [tiff_jpeg([(0x132, 0)], [(0x9003, 2)], b, t) for b in befores]
+    whole += [few, b"\xff\xd8", b"\xff\xd8\xff", b"\xff\xd8\xff\xff", b"\xff\xd8\xff\xff\xff", b"", None]
+    whole += [d[:n] for d in (LE, BE, whole[-25]) for n in range(0, len(d), 3)]
+    small = [d for d in whole if d and 20 < len(d) < 400]
+    for _ in range(400):
+        d = bytearray(rng.choice(small))
+        for _ in range(rng.randint(1, 4)):
+            d[rng.randrange(len(d))] = rng.choice([0, 1, 2, 8, 19, 32, 48, 58, 127, 128, 255, rng.randrange(256)])
+        whole.append(bytes(d))
+    return whole
+
+
+def test_exif_expressions_are_the_python_form(spark):
+    files = hostile_files()
+    got = spark.createDataFrame(list(enumerate(files)), "i int, b binary").select("i", exif.exif_date(F.col("b")).alias("d"), exif.exif_orientation(F.col("b")).alias("o")).collect()
+    dated = 0
+    for r in got:
+        prefix = None if files[r["i"]] is None else files[r["i"]][: exif.PREFIX_BYTES]
+        assert (None if r["d"] is None else tuple(r["d"])) == exif.read_date(prefix), prefix[:300]
+        assert r["o"] == exif.read_orientation(prefix)
+        dated += r["d"] is not None
+    assert len(got) == len(files) and dated > 50
+
+
+def test_date_texts_as_expressions(spark):
+    texts = ["2026:02:31 23:59:60", "2026:07:1418:05:30", "2026: 7: 4  8: 5: 3", "2026:+7:14 05:30:00", "+202:07:14 05:30:00", "-202:07:14 05:30:00", "20260:07:14 05:30:0", "2026:07:14 05:30:0\0", "1825:01:01 00:00:00",
+             "\t\v2026:1:2 3:4:5zzz", "2026:-7:14 05:30:00", "2026:07:14\n05:30:00", "garbage", "", "2026:07:14 05:30:\u0660", "2026:07:14 05:30:0\n", "1,2,3,4,5,6", "2026:1:2 3:4:5\n\n\u0085"]
+    data = [t.encode("utf-8") for t in texts] + [t.encode("latin-1", "replace") for t in texts] + [None]
+    for r in spark.createDataFrame(list(enumerate(data)), "i int, b binary").select("i", exif.date_of_text(F.col("b")).alias("d")).collect():
+        assert (None if r["d"] is None else tuple(r["d"])) == (None if data[r["i"]] is None else exif.parse_date(data[r["i"]])), data[r["i"]]
+
+
 def test_format_date(spark):
     df = spark.createDataFrame([(LE,), (None,), (b"x",)], "b binary").select(exif.format_date(exif.exif_date(F.col("b"))))
     assert [r[0] for r in df.collect()] == ["2026-07-14 18:05:30", None, None]
