@@ -52,7 +52,8 @@ def organise_plan(photos: DataFrame, selection: DataFrame, root: str, occupied:
     chosen = selection.select("pos", "photo_idx").join(photos.select("photo_idx", F.col("path").alias("source"), "date"), "photo_idx")
     rows = chosen.select("pos", "photo_idx", "source", destination_folder(F.lit(root), F.col("date.year"), F.col("date.month")).alias("folder"), F.col("date.year").isNull().alias("undated"))
     rows = _named(rows.withColumn("name", file_name(F.col("source"))), "source")
-    names = rows.groupBy("folder", "family", "name").agg(F.count(F.lit(1)).alias("n"))
+    # cut, as it is joined with itself, and the patterns of numbers are then matched once a name and not once a photo
+    names = cut(rows.groupBy("folder", "family", "name").agg(F.count(F.lit(1)).alias("n")))
     if occupied is None:
         taken = blocked = None
     else:
@@ -60,7 +61,8 @@ def organise_plan(photos: DataFrame, selection: DataFrame, root: str, occupied:
         taken = occupied.select("path").distinct().withColumns({"folder": F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "name": F.regexp_extract("path", r"([^/]*)$", 1)})
         taken = taken.filter("instr(path, '/') > 0")
         plain = taken.select("folder", "name", F.lit(1).cast("long").alias("number"))
-        blocked = plain.unionByName(_numbers(taken)).distinct()
+        # read by the search for meeting names, the owners and the gaps
+        blocked = cut(plain.unionByName(_numbers(taken)).distinct())
     meeting = cut(_meeting(names, blocked))
     if meeting.isEmpty():
         plan = _arithmetic(rows, blocked, strict)
@@ -125,7 +127,7 @@ def _arithmetic(rows: DataFrame, blocked: DataFrame | None, strict: bool) -> Dat
     gaps = _counted(blocked, keys, "number").select(*keys, (F.col("number") - F.col("count")).alias("v"))
     ranked = _counted(rows, keys, "pos", "photo_idx").withColumn("v", F.col("count") - 1)
     both = ranked.select(*keys, "v", F.lit(1).alias("kind"), "pos", "photo_idx", "source", "undated").unionByName(gaps.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    found = _counted(both, keys, "v", "kind", of="kind = 0").filter("kind = 1").withColumn("k", F.col("v") + 1 + F.col("count"))
+    found = _counted(cut(both), keys, "v", "kind", of="kind = 0").filter("kind = 1").withColumn("k", F.col("v") + 1 + F.col("count"))
     return _written(found if owners is None else found.drop("v", "kind", "count").unionByName(owners.withColumn("k", F.lit(1).cast("long"))))
 
 
