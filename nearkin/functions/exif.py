@@ -147,7 +147,7 @@ def read_orientation(data: bytes | None) -> int:
     return 1
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is computed once."""
     return F.transform(F.array(value), then)[0]
 
@@ -199,19 +199,19 @@ class _Block:
     def number(self, at: Column, size: int) -> Column:
         digits = F.when((at >= 0) & (at + size <= self.length), _hex(self.data, at.cast("int"), size))
         turned = lambda h: F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))])
-        return _let(digits, lambda h: F.conv(F.when(self.little, turned(h)).otherwise(h), 16, 10).cast("long"))
+        return let(digits, lambda h: F.conv(F.when(self.little, turned(h)).otherwise(h), 16, 10).cast("long"))
 
     def entries(self, at: Column, *tags: int) -> Column:
         """The (tag, at) of a directory's entries with these tags, in their order; null if it has none or does not fit."""
-        entry = lambda i: _let(at + 2 + i * ENTRY, lambda e: F.struct(self.number(e, 2).alias("tag"), e.alias("at")))
+        entry = lambda i: let(at + 2 + i * ENTRY, lambda e: F.struct(self.number(e, 2).alias("tag"), e.alias("at")))
         of = lambda n: F.when((n > 0) & (at + 2 + n * ENTRY <= self.length), F.transform(F.sequence(F.lit(0).cast("long"), n - 1), entry))
-        return F.filter(_let(self.number(at, 2), of), lambda e: e["tag"].isin(*tags))
+        return F.filter(let(self.number(at, 2), of), lambda e: e["tag"].isin(*tags))
 
     def date(self, at: Column) -> Column:
         """The date of an entry, null if it is none."""
         told = (self.number(at + 2, 2) == ASCII) & (self.number(at + 4, 4) >= DATE_LENGTH)
         text = lambda start: F.when(start + DATE_LENGTH <= self.length, F.substring(self.data, start.cast("int") + 1, F.lit(DATE_LENGTH)))
-        return F.when(told, _let(self.number(at + 8, 4), lambda start: _let(text(start), date_of_text)))
+        return F.when(told, let(self.number(at + 8, 4), lambda start: let(text(start), date_of_text)))
 
 
 def date_of_text(text: Column) -> Column:
@@ -224,7 +224,7 @@ def date_of_text(text: Column) -> Column:
         valid = (y >= 1826) & mo.between(1, 12) & d.between(1, 31) & h.between(0, 23) & mi.between(0, 59) & s.between(0, 60)
         return F.when(valid, F.struct(*[p[i].alias(k) for i, k in enumerate(PARTS)]))
 
-    return _let(parts, lambda p: F.when(F.size(p) == 6, _let(F.transform(p, lambda x: x.cast("int")), checked)))
+    return let(parts, lambda p: F.when(F.size(p) == 6, let(F.transform(p, lambda x: x.cast("int")), checked)))
 
 
 def _of_block(data: Column, then: Callable[[_Block, Column], Column]) -> Column:
@@ -234,10 +234,10 @@ def _of_block(data: Column, then: Callable[[_Block, Column], Column]) -> Column:
         order = _hex(block, F.lit(0), 4)
         tiff = _Block(block, order == LITTLE)
         first = F.when(order.isin(LITTLE, BIG) & (tiff.length >= 8), tiff.number(F.lit(4).cast("long"), 4))
-        return _let(first, lambda at: F.when(at < tiff.length, then(tiff, at)))
+        return let(first, lambda at: F.when(at < tiff.length, then(tiff, at)))
 
-    cut = lambda d: _let(_exif_place(d), lambda s: _let(F.when(s["size"] > 0, F.substring(d, s["start"] + 1, s["size"])), of))
-    return _let(F.substring(data, 1, PREFIX_BYTES), cut)
+    cut = lambda d: let(_exif_place(d), lambda s: let(F.when(s["size"] > 0, F.substring(d, s["start"] + 1, s["size"])), of))
+    return let(F.substring(data, 1, PREFIX_BYTES), cut)
 
 
 def exif_date(data: Column) -> Column:
@@ -256,10 +256,10 @@ def exif_date(data: Column) -> Column:
 
         def of(rows: Column) -> Column:
             pointer = tiff.number(last(tagged(rows, TAG_SUB_IFD))["at"] + 8, 4)
-            within = lambda at: F.when((at > 0) & (at < tiff.length), _let(tiff.entries(at, TAG_ORIGINAL, TAG_DIGITIZED), captured))
-            return F.coalesce(_let(pointer, within), tiff.date(last(tagged(rows, TAG_DATETIME))["at"]))
+            within = lambda at: F.when((at > 0) & (at < tiff.length), let(tiff.entries(at, TAG_ORIGINAL, TAG_DIGITIZED), captured))
+            return F.coalesce(let(pointer, within), tiff.date(last(tagged(rows, TAG_DATETIME))["at"]))
 
-        return _let(tiff.entries(first, TAG_DATETIME, TAG_SUB_IFD), of)
+        return let(tiff.entries(first, TAG_DATETIME, TAG_SUB_IFD), of)
 
     return _of_block(data, dates)
 
@@ -267,7 +267,7 @@ def exif_date(data: Column) -> Column:
 def exif_orientation(data: Column) -> Column:
     """The orientation tag of JPEG bytes, 1 to 8; 1 if there is none: ``read_orientation`` as an expression."""
     value = _of_block(data, lambda tiff, first: tiff.number(F.try_element_at(tiff.entries(first, TAG_ORIENTATION), F.lit(1))["at"] + 8, 2))
-    return _let(value, lambda v: F.when(v.between(1, 8), v).otherwise(1).cast("int"))
+    return let(value, lambda v: F.when(v.between(1, 8), v).otherwise(1).cast("int"))
 
 
 def format_date(date: Column) -> Column:

@@ -6,12 +6,12 @@ the entry if it takes no more than four bytes, else behind the directories at an
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from nearkin.functions.exif import ENTRY, TAG_SUB_IFD
+from nearkin.functions.exif import ENTRY, TAG_SUB_IFD, let
 
 #: Kinds of entries, and the most bytes that a segment can say it has.
 ASCII, SHORT, LONG = 2, 3, 4
@@ -34,7 +34,7 @@ def _number(value: Column, size: int, little: bool) -> Column:
 
 
 def _directory(entries: list[Entry], at: Column, pointer: Column | None, little: bool) -> tuple[Column, Column, Column]:
-    """(entries, values behind them, where they end) of a directory at ``at``, as hex digits; ``pointer`` is that of the next one."""
+    """(entries, values behind them, where they end) of a directory at ``at``, as hex digits, as its texts are; ``pointer`` is that of the next one."""
     n = len(entries) + (pointer is not None)
     place = at + F.lit(2 + n * ENTRY + 4)
     parts, values = [], []
@@ -45,7 +45,7 @@ def _directory(entries: list[Entry], at: Column, pointer: Column | None, little:
             size = 2 if e.kind == SHORT else 4
             parts += [*head, number(1, 4), F.rpad(number(e.value, size), 8, "0")]
             continue
-        text = F.concat(F.hex(F.encode(e.value, "UTF-8")), F.lit("00"))
+        text = e.value
         count = (F.length(text) / 2).cast("long")
         held = count <= 4
         padded = F.when(held, "").otherwise(F.concat(text, F.when(count % 2 == 1, "00").otherwise("")))
@@ -66,15 +66,36 @@ def exif_jpeg(main: list[Entry], capture: list[Entry] = (), little: bool = True)
 
     Entries are written by tag, as the format wants. A null value, or more bytes than a segment can hold, gives null.
     """
-    rows = sorted(main, key=lambda e: e.tag)
+    rows, sub = ([replace(e, value=_hexed(e)) for e in sorted(part, key=lambda e: e.tag)] for part in (main, capture))
+
+    # values are bound once: every offset names those before it, and as one generated method this outgrows the JVM's limit
+    def of(values: Column) -> Column:
+        bound = [replace(e, value=values[f"v{i}"]) for i, e in enumerate(rows + sub)]
+        return _file(bound[: len(rows)], bound[len(rows) :], little)
+
+    return F.unhex(let(F.struct(*[e.value.alias(f"v{i}") for i, e in enumerate(rows + sub)]), of)) if rows + sub else F.unhex(_file([], [], little))
+
+
+def _hexed(entry: Entry) -> Column:
+    """The bytes of a text and its null byte as hex digits; other values as they are."""
+    return F.concat(F.hex(F.encode(entry.value, "UTF-8")), F.lit("00")) if entry.kind == ASCII else entry.value.cast("long")
+
+
+def _file(rows: list[Entry], capture: list[Entry], little: bool) -> Column:
+    """The hex digits of the file of entries by tag whose texts are hex digits already."""
     start = F.lit(8).cast("long")
     # the capture directory begins where the main one's values end, which does not depend on the pointer to it
     end = _directory(rows, start, start if capture else None, little)[2]
-    head, values, _ = _directory(rows, start, end if capture else None, little)
-    order = F.lit("49492A00" if little else "4D4D002A")
-    tiff = [order, _number(start, 4, little), head, values]
-    if capture:
-        tiff += _directory(sorted(capture, key=lambda e: e.tag), end, None, little)[:2]
-    payload = F.concat(F.lit("457869660000"), *tiff)
-    length = _size(payload) + 2
-    return F.when(length <= MOST, F.unhex(F.concat(F.lit("FFD8FFE1"), _number(length, 2, False), payload, F.lit("FFD9"))))
+
+    def payload(end: Column) -> Column:
+        head, values, _ = _directory(rows, start, end if capture else None, little)
+        tiff = [F.lit("49492A00" if little else "4D4D002A"), _number(start, 4, little), head, values]
+        if capture:
+            tiff += _directory(capture, end, None, little)[:2]
+        return F.concat(F.lit("457869660000"), *tiff)
+
+    def file(payload: Column) -> Column:
+        length = _size(payload) + 2
+        return F.when(length <= MOST, F.concat(F.lit("FFD8FFE1"), _number(length, 2, False), payload, F.lit("FFD9")))
+
+    return let(let(end, payload), file)
