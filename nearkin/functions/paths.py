@@ -48,8 +48,9 @@ def destination_folder(root: Column, year: Column, month: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Megabytes with one digit from a mebibyte on, else whole kilobytes."""
-    return F.when(size >= 1 << 20, F.format_string("%.1f MB", size / (1 << 20))).otherwise(F.format_string("%d KB", F.rint(size / 1024).cast("long")))
+    """Megabytes with one digit from a mebibyte on, else whole kilobytes; halves go to the even digit."""
+    # Java's format would round halves up
+    return F.when(size >= 1 << 20, F.format_string("%.1f MB", F.bround(size / (1 << 20), 1))).otherwise(F.format_string("%d KB", F.rint(size / 1024).cast("long")))
 
 
 # The wording of labels and of the summary.

@@ -214,3 +214,9 @@ def test_paths(spark):
     sizes = {0: "0 KB", 2048: "2 KB", 1048575: "1024 KB", 1048576: "1.0 MB", 5 * 1048576 + 524288: "5.5 MB"}
     got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", paths.human_size(F.col("n")).alias("s")).collect()
     assert {r["n"]: r["s"] for r in got} == sizes
+
+
+def test_halves_of_sizes_go_to_the_even_digit(spark):
+    sizes = {5 * (1 << 18): "1.2 MB", 7 * (1 << 18): "1.8 MB", 997 * (1 << 18): "249.2 MB", 5 * (1 << 18) + 1: "1.3 MB", 5 * (1 << 18) - 1: "1.2 MB", (1 << 50) + (1 << 18): "1073741824.2 MB", 2560: "2 KB", 3584: "4 KB"}
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", paths.human_size(F.col("n")).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in got} == sizes
