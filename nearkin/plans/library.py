@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,15 @@ PROGRESS_STEPS = 200
 
 @dataclass
 class ScanResult:
-    """photos (with failures), memberships (group_id, idx), stats (comparisons, naive_comparisons)."""
+    """photos (with failures), memberships (group_id, idx), stats (comparisons, naive_comparisons), which are counted when asked for."""
 
     photos: DataFrame
     memberships: DataFrame
-    stats: DataFrame
+    counted: Callable[[], DataFrame]
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self.counted()
 
     def scores(self) -> DataFrame:
         return self.photos.select(F.col("photo_idx").alias("idx"), "sharpness", "width", "height")
@@ -51,7 +56,7 @@ def scan_photos(photos: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> ScanRe
     """Group photos that have features: (photo_idx, path, hash, sharpness, width, height, decoded, ...)."""
     photos = cut(photos)
     hashes = photos.filter("decoded").select(F.col("photo_idx").alias("idx"), "hash")
-    return ScanResult(photos, cut(neardup.near_groups(hashes, threshold)), neardup.candidate_stats(hashes))
+    return ScanResult(photos, cut(neardup.near_groups(hashes, threshold)), lambda: neardup.candidate_stats(hashes))
 
 
 def scan_library(spark: SparkSession, root: str, threshold: int = DEFAULT_THRESHOLD) -> ScanResult:

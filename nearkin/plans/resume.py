@@ -95,7 +95,7 @@ def scan_batches(
 def cancelled_scan(spark: SparkSession, folder: str) -> ScanResult:
     """What a cancelled scan keeps: its decoded photos, no groups and no comparisons."""
     none = spark.createDataFrame([(0, 0)], "comparisons long, naive_comparisons long")
-    return ScanResult(kept_photos(spark, folder), spark.createDataFrame([], "group_id long, idx long"), none)
+    return ScanResult(kept_photos(spark, folder), spark.createDataFrame([], "group_id long, idx long"), lambda: none)
 
 
 def reports(on_progress: Callable[[Progress], None]) -> Callable[[Progress], None]:

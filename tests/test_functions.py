@@ -1,5 +1,6 @@
 """Hashes, rasters, capture times and paths."""
 
+import hashlib
 import random
 import struct
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests_support import blurred, brighter, noisy, scene
 
-from nearkin.functions import bits, exif, paths, raster
+from nearkin.functions import bits, exif, paths, raster, signature
 
 LE = bytes.fromhex("FFD8FFE1004845786966000049492A0008000000010069870400010000001A00000000000000010003900200140000002C00000000000000323032363A30373A31342031383A30353A333000FFD9")
 BE = bytes.fromhex("FFD8FFE100484578696600004D4D002A00000008000187690004000000010000001A00000000000190030002000000140000002C00000000313939393A31323A33312032333A35393A353900FFD9")
@@ -220,3 +221,23 @@ def test_halves_of_sizes_go_to_the_even_digit(spark):
     sizes = {5 * (1 << 18): "1.2 MB", 7 * (1 << 18): "1.8 MB", 997 * (1 << 18): "249.2 MB", 5 * (1 << 18) + 1: "1.3 MB", 5 * (1 << 18) - 1: "1.2 MB", (1 << 50) + (1 << 18): "1073741824.2 MB", 2560: "2 KB", 3584: "4 KB"}
     got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", paths.human_size(F.col("n")).alias("s")).collect()
     assert {r["n"]: r["s"] for r in got} == sizes
+
+
+def test_signatures_of_odd_texts(spark):
+    texts = [(1, "A b\nb  c", 1), (2, None, 2), (3, "", 3), (4, " \n ", 4), (5, "Ä ö\tx Ä\u00a0y \U0001f600", None), (6, "a b", 6), (6, "b c d", 7), (7, "w" * 5000 + " " + "v " * 3000, 8)]
+
+    def want(many):
+        n = [0] * 72
+        for w in (w for t in many for w in (t or "").lower().replace("\n", " ").split(" ") if w):
+            n[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 72] += 1
+        bits_set = sum(1 << b for b in range(64) if n[b // 8 * 9 + b % 8] > n[b // 8 * 9 + b % 8 + 1])
+        return bits.signed(bits_set)
+
+    df = spark.createDataFrame(texts, "doc_id long, text string, k int")
+    hashes = {i: want([t for j, t, _ in texts if j == i]) for i, _, _ in texts}
+    assert sorted(map(tuple, signature.text_signatures(df).collect())) == sorted(hashes.items())
+    got = signature.cell_signatures(signature.text_cells(df, kept=("k",)), "words", "k").collect()
+    words = lambda t: None if t is None else len({w for w in t.lower().replace("\n", " ").split(" ") if w})
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, got), key=order) == sorted(((i, hashes[i], words(t), k) for i, t, k in texts), key=order)
+    assert signature.text_signatures(df.limit(0)).collect() == []
