@@ -10,10 +10,13 @@ that a third of all rows share never forms its pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,37 +53,76 @@ def band_candidates(hashes: DataFrame) -> DataFrame:
     return a.join(b, same & once).select(F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), hamming(F.col("a.hash"), F.col("b.hash")).alias("distance"))
 
 
+#: Distinct hashes of a group of bands from which it is split by further bands.
+HOT = 500_000
+
+
 def candidate_stats(hashes: DataFrame) -> DataFrame:
     """(comparisons, naive_comparisons): pairs that share a band, and all pairs.
 
-    The pairs are counted, not listed: by inclusion and exclusion over the sets of bands, from the
-    sizes of the groups that agree on a set. Copies of a hash are counted by themselves, so a group of one hash adds nothing,
-    and neither does what it is cut into by more bands. So sets grow level by level, and a hash takes a further band only
-    where its group has another one. Levels at which nearly every group has (fewer values than hashes) are made at once.
+    The pairs are counted, not listed: by inclusion and exclusion over the sets of bands, from the sizes of the groups
+    that agree on a set. A task gets the hashes that agree on one band and counts all sets of which it is the lowest
+    (``_shared``), so a hash is sent eight times. A group with more than ``HOT`` hashes counts for its own set only, by
+    sums, and its hashes go on as groups of that set and each further band. Copies of a hash are counted by themselves.
     """
     distinct = cut(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
-    level = first_level(distinct.count())
-    sets = [F.struct(F.lit(signed(sum(255 << 8 * b for b in bands))).cast("long").alias("mask"), F.lit(max(bands)).alias("top"), F.lit(size).alias("size")) for size in range(1, level + 1) for bands in combinations(range(BANDS), size)]
-    keyed = distinct.select("hash", "n", F.inline(F.array(*sets)))
+    rows = distinct.count()
     counts = [distinct.select(F.expr("coalesce(sum(n * (n - 1) div 2), 0)").alias("pairs"))]
+    sets = F.array(*[F.struct(F.lit(signed(255 << BAND_BITS * b)).cast("long").alias("mask"), F.lit(b).alias("top"), F.lit(1).alias("size")) for b in range(BANDS)])
+    keyed = distinct.filter("hash IS NOT NULL").select("hash", "n", F.inline(sets))
     while True:
-        key = F.col("hash").bitwiseAND(F.col("mask"))
-        groups = cut(keyed.groupBy("mask", "size", key.alias("key")).agg(F.sum("n").alias("n"), F.expr("sum(n * (n - 1) div 2)").alias("copies"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
-        sign = F.when(F.col("size") % 2 == 1, 1).otherwise(-1)
-        counts.append(groups.select(F.coalesce(F.sum(sign * (F.expr("n * (n - 1) div 2") - F.col("copies"))), F.lit(0)).alias("pairs")))
-        if level == BANDS or groups.isEmpty():
+        keyed = keyed.withColumn("key", F.col("hash").bitwiseAND(F.col("mask")))
+        if rows <= HOT:
+            counts.append(_shared(keyed, BANDS * rows))
+            break
+        groups = keyed.groupBy("mask", "key", "top", "size").agg(F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("q"), F.count(F.lit(1)).alias("c"))
+        hot = cut(groups.filter(F.col("c") > HOT))
+        counts.append(hot.select(F.expr("coalesce(sum(if(size % 2 = 1, 1, -1) * ((n * n - q) div 2)), 0)").alias("pairs")))
+        # all groups of a set add up to the distinct hashes, so there are few hot ones
+        names = F.broadcast(hot.select("mask", "key"))
+        counts.append(_shared(keyed.join(names, ["mask", "key"], "left_anti"), BANDS * rows))
+        if hot.isEmpty():
             break
-        others = groups.filter(F.col("size") == level).select("mask", "key")
-        left = keyed.filter((F.col("size") == level) & (F.col("top") < BANDS - 1)).withColumn("key", key).join(others, ["mask", "key"], "left_semi")
-        keyed = left.select("hash", "n", "mask", F.explode(F.sequence(F.col("top") + 1, F.lit(BANDS - 1))).alias("top")).withColumns({"mask": F.expr("mask | shiftleft(255L, 8 * top)"), "size": F.lit(level + 1)})
-        level += 1
+        further = keyed.join(names, ["mask", "key"]).filter(F.col("top") < BANDS - 1)
+        further = further.select("hash", "n", "mask", "size", F.explode(F.sequence(F.col("top") + 1, F.lit(BANDS - 1))).alias("top"))
+        keyed = cut(further.select("hash", "n", F.expr(f"mask | shiftleft(255L, {BAND_BITS} * top)").alias("mask"), "top", (F.col("size") + 1).alias("size")))
     pairs = reduce(DataFrame.unionByName, counts).agg(F.sum("pairs").cast("long").alias("comparisons"))
     return pairs.crossJoin(hashes.agg(F.expr("count(1) * (count(1) - 1) div 2").alias("naive_comparisons")))
 
 
-def first_level(rows: int) -> int:
-    """The level up to which sets of bands are made at once: the first one with more values than hashes."""
-    return min(BANDS, max(1, rows).bit_length() // BAND_BITS + 1)
+def shared_pairs(h: np.ndarray, n: np.ndarray, key: np.ndarray, top: int, sign: int) -> int:
+    """The pairs of different hashes with the same key, with a sign, and those that agree in further bands too, with
+    signs in turn. A group of one hash goes into no further band."""
+    order = np.argsort(key, kind="stable")
+    h, n, key = h[order], n[order], key[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    several = (c := np.diff(np.append(starts, len(key)))) > 1
+    if not several.any():
+        return 0
+    total, squares = np.add.reduceat(n, starts)[several], np.add.reduceat(n * n, starts)[several]
+    found = sign * int(((total * total - squares) // 2).sum())
+    live = np.repeat(several, c)
+    h, n, place = h[live], n[live], np.repeat(np.arange(len(total)), c[several])
+    for band in range(top + 1, BANDS):
+        found += shared_pairs(h, n, place << BAND_BITS | (h >> BAND_BITS * band & 255), band, -sign)
+    return found
+
+
+def _shared(keyed: DataFrame, rows: int) -> DataFrame:
+    """(pairs): of each task's groups (mask, key), the signed counts of their sets and of those that extend them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        h, n, mask, top, size = (np.concatenate([b.column(i).to_numpy() for b in held] or [np.zeros(0, np.int64)]) for i in range(5))
+        found = 0
+        for m in np.unique(mask):
+            at = np.flatnonzero(mask == m)
+            found += shared_pairs(h[at], n[at], h[at] & m, int(top[at[0]]), 1 if size[at[0]] % 2 else -1)
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64())], names=["pairs"])
+
+    # tasks of at most about HOT rows, beside what their largest group has
+    parts = max(2 * keyed.sparkSession.sparkContext.defaultParallelism, rows // HOT + 1)
+    return keyed.repartition(parts, "mask", "key").select("hash", "n", "mask", "top", "size").mapInArrow(run, "pairs long")
 
 
 #: Most blocks that a key takes.

@@ -131,6 +131,31 @@ def test_hot_hash_makes_no_pairs(spark):
     assert stats["comparisons"] >= 6667 * 6666 // 2
 
 
+@pytest.mark.parametrize("hot", [1, 4, 60])
+def test_hot_groups_of_bands_are_split(spark, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    hashes = clustered(15, 6, 60, 5) + [0, 0, 1, MASK] + [k << 56 for k in range(1, 40)]
+    shared = sum(any((a ^ b) >> 8 * k & 255 == 0 for k in range(8)) for i, a in enumerate(hashes) for b in hashes[:i])
+    assert tuple(neardup.candidate_stats(frame(spark, hashes)).first()) == (shared, len(hashes) * (len(hashes) - 1) // 2)
+
+
+def test_a_hash_is_sent_once_a_band(spark, monkeypatch):
+    sent, shared = [], neardup._shared
+    monkeypatch.setattr(neardup, "_shared", lambda keyed, rows: sent.append(keyed.count()) or shared(keyed, rows))
+    assert neardup.candidate_stats(spark.range(3000).select(F.col("id").alias("idx"), F.xxhash64("id").alias("hash"))).first()["comparisons"] > 0
+    assert sent == [8 * 3000]
+
+
+def test_candidates_are_counted_only_when_asked_for(spark, monkeypatch):
+    photos = spark.range(20).select(F.col("id").alias("photo_idx"), F.expr("(id div 4) * 1103515245 * 65537 + id % 2").alias("hash"), F.lit(1.0).alias("sharpness"), F.lit(4).alias("width"), F.lit(3).alias("height"), F.lit(True).alias("decoded"))
+    counted, stats = [], neardup.candidate_stats
+    monkeypatch.setattr(neardup, "candidate_stats", lambda hashes: counted.append(1) or stats(hashes))
+    result = library.scan_photos(photos)
+    groups = result.keepers().count()
+    assert result.memberships.count() == 20 and result.removal_marks().count() == 20 - groups and groups > 1 and counted == []
+    assert result.stats.first()["naive_comparisons"] == 190 and result.summary().count() == 1 and counted == [1]
+
+
 @pytest.mark.parametrize("hub", [10_000, 3])
 def test_components(spark, monkeypatch, hub):
     monkeypatch.setattr(components, "HUB", hub)
