@@ -1,6 +1,7 @@
 """Scans that can be cancelled and taken up again.
 
-Photos are decoded in batches of their places in path order. Each batch is written to a folder of its own below
+Photos are decoded in batches of their places in path order; one job takes as many batches at a time as keep the jobs of a scan at
+about two hundred (``steps``), so their number does not grow with the library. What a job takes is written to a folder of its own below
 the scan's folder, and only then named in the manifest, so a batch counts as a whole or not at all, whatever is lost
 or cancelled meanwhile. A scan leaves out what the manifest's batches hold (by path and size, so a file that has
 changed is read again), and groups are made when nothing is left. A cancelled scan keeps its decoded photos,
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from nearkin.functions.bits import DEFAULT_THRESHOLD
-from nearkin.plans.library import ScanResult, progress_due, scan_photos
+from nearkin.plans.library import PROGRESS_STEPS, ScanResult, progress_due, scan_photos
+from nearkin.runtime import cut
 from nearkin.sources.images import FEATURES
 
 #: Photos of one batch, by default.
@@ -57,19 +59,24 @@ def kept_photos(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_batches(
-    paths: DataFrame, decode: Callable[[DataFrame], DataFrame], folder: str, threshold: int = DEFAULT_THRESHOLD, batch: int = BATCH,
+    paths: DataFrame, decode: Callable[[DataFrame], DataFrame], folder: str, threshold: int = DEFAULT_THRESHOLD, batch: int = BATCH, steps: int | None = PROGRESS_STEPS,
     cancelled: Callable[[], bool] = lambda: False, on_batch: Callable[[Progress], None] = lambda p: None) -> ScanResult:
     """Scan ``paths`` (photo_idx, path, file_size) into ``folder``, or go on with a scan that is there.
 
-    ``decode`` gives the features of the photos of a batch. ``cancelled`` is asked before each batch, ``on_batch`` told
-    after each; a job that is cancelled by its tag raises its error, and the batches before it stay.
+    ``decode`` gives the features of the photos of one job: of a batch, or of several consecutive ones where there are more than
+    ``steps`` (None: always of one batch). ``cancelled`` is asked before each job, ``on_batch`` told after each; a job that is cancelled by its tag raises its error, and the batches before it stay.
     A photo that other paths share a place with is none of this scan's concern: places are those of ``paths``.
     """
     spark = paths.sparkSession
     wanted = paths.select("photo_idx", "path", "file_size")
     known = kept_photos(spark, folder).select("path", "file_size").distinct()
-    left = wanted.join(known, ["path", "file_size"], "left_anti").withColumn("_batch", F.expr(f"photo_idx div {batch}"))
-    # a number for each batch
+    # cut, as every job reads it
+    left = cut(wanted.join(known, ["path", "file_size"], "left_anti").withColumn("_batch", F.expr(f"photo_idx div {batch}")))
+    if steps is not None:
+        first, last = left.agg(F.min("_batch"), F.max("_batch")).first()
+        if first is not None:
+            left = left.withColumn("_batch", F.expr(f"(_batch - {first}) div {-(-(last - first + 1) // steps)}"))
+    # a number for each job
     numbers = sorted(r["_batch"] for r in left.select("_batch").distinct().collect())
     total = wanted.count()
     counts = manifest(spark, folder).agg(F.coalesce(F.sum("photos"), F.lit(0)), F.coalesce(F.sum("failed"), F.lit(0))).first()

@@ -406,18 +406,18 @@ def oriented_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_raster(spark, sf_dir, images.oriented_hashes)
 
 
-#: Photos of one batch of a scan that is cancelled and resumed.
-BATCH = 100
+#: Photos of one batch of a scan that is cancelled and resumed; most jobs that one is resumed in.
+BATCH, STEPS = 100, 8
 
 
-def in_batches(spark: SparkSession, sf_dir: str, rows: DataFrame, folder: str, keep: int | None = None) -> ScanResult:
-    """A scan of rasters by batches; with ``keep`` it is cancelled after so many of them."""
+def in_batches(spark: SparkSession, sf_dir: str, rows: DataFrame, folder: str, keep: int | None = None, steps: int | None = None) -> ScanResult:
+    """A scan of rasters by batches, or in so many steps of several; with ``keep`` it is cancelled after so many of them."""
     found = rows.select(F.col("vec_id").alias("photo_idx"), F.format_string("/dump/%d.gray", "vec_id").alias("path"), F.when(F.col("vec_id") % 9 == 0, 63).otherwise(64).cast("long").alias("file_size"))
     # only the rows of a batch are read as photos
     decode = lambda batch: raster_photos(rows.join(batch.select(F.col("photo_idx").alias("vec_id")), "vec_id", "left_semi"))
     done: list[int] = []
     stop = lambda: keep is not None and len(done) >= keep
-    return resume.scan_batches(found, decode, folder, PRESETS["loose"], BATCH, cancelled=stop, on_batch=lambda p: done.append(p.done))
+    return resume.scan_batches(found, decode, folder, PRESETS["loose"], BATCH, steps, cancelled=stop, on_batch=lambda p: done.append(p.done))
 
 
 def retouched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,10 +433,10 @@ def scan_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scan_resumed", f"WITH RECURSIVE {dhash_sql(RETOUCHED_SQL)}, good AS (SELECT vec_id AS idx, hash FROM dhash WHERE vec_id % 9 <> 0), {near_sql(5, 'good')} SELECT group_id, idx FROM member")
 def scan_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan that is cancelled after two batches and taken up again gives the groups of one scan."""
+    """A scan that is cancelled after two steps and taken up again gives the groups of one scan."""
     rows, folder = cut(retouched(spark, sf_dir)), new_folder(spark, "scan")
-    in_batches(spark, sf_dir, rows, folder, 2)
-    return in_batches(spark, sf_dir, rows, folder).memberships
+    in_batches(spark, sf_dir, rows, folder, 2, STEPS)
+    return in_batches(spark, sf_dir, rows, folder, steps=STEPS).memberships
 
 
 # Capture times

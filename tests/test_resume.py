@@ -59,6 +59,17 @@ def test_cancelled_and_resumed(spark, folder):
     assert lists(resume.scan_batches(paths, third, folder, batch=20).memberships) == lists(plain.memberships) and third.seen == []
 
 
+def test_jobs_do_not_grow_with_the_library(spark, folder):
+    paths, first = listing(spark, 95), Decoder()
+    resume.scan_batches(paths, first, folder, batch=5, steps=4, cancelled=lambda: len(first.seen) == 2)
+    assert first.seen == [list(range(25)), list(range(25, 50))]
+    second = Decoder()
+    whole = resume.scan_batches(paths, second, folder, batch=5, steps=4)
+    assert second.seen == [list(range(50, 65)), list(range(65, 80)), list(range(80, 95))]
+    plain = library.scan_photos(Decoder()(paths))
+    assert lists(whole.photos.select(*resume.COLUMNS)) == lists(plain.photos.select(*resume.COLUMNS)) and lists(whole.memberships) == lists(plain.memberships) != []
+
+
 def test_a_lost_batch_does_not_count(spark, folder):
     paths = listing(spark, 60)
     with pytest.raises(RuntimeError):
