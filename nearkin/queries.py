@@ -624,7 +624,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(destination, ' \\
 def organize_occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every plain name is occupied, so numbers start at two."""
     photos = order_photos(spark, sf_dir)
-    first = cut(plan(spark, sf_dir).select(F.regexp_replace("destination", r" \(\d+\)", "").alias("path")).distinct())
+    folder = paths.destination_folder(F.lit("/photos/"), F.col("date.year"), F.col("date.month"))
+    first = cut(photos.select(F.concat_ws("/", folder, paths.file_name(F.col("path"))).alias("path")).distinct())
     out = organize.organise_plan(photos, organize.selection_of(photos), "/photos/", first)
     number = F.regexp_extract("destination", r" \((\d+)\)", 1).cast("long")
     return out.select("pos", "source", F.regexp_replace("destination", r" \(\d+\)", "").alias("folder_name"), number.alias("number"))

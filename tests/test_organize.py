@@ -66,3 +66,14 @@ def test_hot_name_is_dealt(spark):
     for r in rows:
         sizes[r["task"]] = sizes.get(r["task"], 0) + 1
     assert len(sizes) >= 12 and max(sizes.values()) <= 50_000
+
+
+def test_occupied_names_need_no_plan(spark, monkeypatch):
+    from nearkin import queries
+
+    def none(*args):
+        raise AssertionError("a plan was made")
+
+    monkeypatch.setattr(queries, "plan", none)
+    found = queries.QUERIES["organize_occupied"](spark, "/root/testdata/sf0.001").agg(F.count(F.lit(1)), F.min("number")).first()
+    assert found[0] > 0 and found[1] == 2
