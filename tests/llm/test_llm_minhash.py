@@ -111,3 +111,77 @@ def test_sizes_share_a_class():
     for n in range(1, 3000):
         for m in {n, n * 100 // hm.SIMILARITY}:
             assert hm.size_class(m) in hm.size_classes(n) and hm.size_class(m) in hm.size_classes(m)
+
+
+@pytest.mark.parametrize(("block", "listed"), [(512, hm.RARE), (40, hm.RARE), (40, 0)])
+def test_far_copies_of_one_text_do_not_give_all_pairs(spark, monkeypatch, block, listed):
+    """Copies with so many changes that few are linked, though most resemble each other, are told apart without listing their pairs;
+    without the bound (no shingle is rare) the result is the same."""
+    monkeypatch.setattr(hm, "BLOCK", block)
+    monkeypatch.setattr(hm, "RARE", listed)
+    given, plain = [], hm._verified
+
+    def counted(pairs, *a):
+        given.append(pairs.count())
+        return plain(pairs, *a)
+
+    monkeypatch.setattr(hm, "_verified", counted)
+    rng = random.Random(block)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(400):
+        other = list(base)
+        for j in range(rng.randrange(8)):
+            # some changes are of few words, which many copies make at the same place
+            other[rng.randrange(len(base))] = rng.choice(("the", "of", "and")) if rng.random() < 0.3 else f"own{k}-{j}"
+        texts.append(" ".join(other))
+    rows = list(enumerate(texts))
+    want = links_brute(rows)
+    assert set(map(tuple, hm.minhash_dedup(frame(spark, rows)).collect())) == want
+    sets = [set_brute(t) for t in texts]
+    near = sum(100 * len(a & b) >= 64 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert near > 20_000 and len({c for _, _, c, _ in want}) > 40 and (sum(given) < 10 * len(rows)) == (listed > 0)
+
+
+@pytest.mark.parametrize("listed", [hm.RARE, 3])
+def test_what_sets_share_at_most(spark, monkeypatch, listed):
+    """The bound is never below what sets share, and exact about shingles that few have."""
+    monkeypatch.setattr(hm, "RARE", listed)
+    rng = np.random.default_rng(listed)
+    often, pool = rng.integers(0, 1 << 63, 60).astype(np.uint64), rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(often, 50, False), rng.choice(pool, rng.integers(1, 6), False), rng.integers(0, 1 << 63, rng.integers(9)).astype(np.uint64)])) for _ in range(150)]
+    sets.append(np.zeros(0, np.uint64))
+    found = {r["cid"]: r for r in hm.rare_shingles(spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "cid long, hashes binary")).collect()}
+    names, of = np.unique(np.concatenate(sets), return_counts=True)
+    df = dict(zip(names.tolist(), of.tolist(), strict=True))
+    for i, x in enumerate(sets):
+        want = sum(df[h] == 1 for h in x.tolist()), {h for h in x.tolist() if 1 < df[h] <= listed}
+        assert (found[i]["own"], set(np.frombuffer(found[i]["rare"], np.uint64).tolist())) == want if i in found else want == (0, set())
+    n = np.array([len(x) for x in sets])
+    rare = [bytes(found[i]["rare"]) if i in found else b"" for i in range(len(sets))]
+    rare[7] = None
+    common = n - np.array([found[i]["own"] if i in found else 0 for i in range(len(sets))])
+    zero = np.zeros(len(n), np.int64)
+    most = hm.most_shared(hm.Block(zero, zero, zero, n, common, zero, np.array(rare, object), zero))
+    shared = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    for i in range(len(sets)):
+        got = most(i)
+        assert all(g >= s for j, (g, s) in enumerate(zip(got, shared[i], strict=True)) if i != j)
+
+
+def test_nearest_of_each_component():
+    """Of each label its best pair with another one, by blocks of one side and of two."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([pool[: 300 - k], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in range(0, 60, 5)]
+    registers = np.array([hm.sketch(x, 2) for x in sets])
+    n, m = np.array([len(x) for x in sets]), len(sets)
+    label = np.arange(m) // 2
+    for side in (np.full(m, 2), label % 2):
+        block = hm.Block(side, np.arange(m), label, n, n, np.zeros(m, np.int64), np.array([None] * m, object), registers)
+        e = {(i, j): hm.estimates(registers[i : i + 1], registers[j])[0] for i in range(m) for j in range(m)
+             if label[i] != label[j] and (side[i] == side[j] == 2 or side[i] != side[j])}
+        want = {k: max(v for (i, _), v in e.items() if label[i] == k) for k in set(label)}
+        (a, b), = hm.nearest(block)
+        got = [e[i, j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sorted(got) == sorted(want.values())
