@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from nearkin.llm.simhash import shingle_hashes, text_hash
 from nearkin.operators.components import connected_components
-from nearkin.runtime import cut, small
+from nearkin.runtime import cut, shuffles_freed, small
 
 WIDTH = 4
 #: Documents are linked from so many hundredths of similarity on.
@@ -69,6 +69,8 @@ RARE = 64
 LATE_ROWS = 100_000
 #: Shingles that are counted in one piece, about.
 PIECE = 500_000
+#: Links whose forest a task makes, about.
+LINKS = 10_000
 #: Most classes that may be broadcast by name.
 BROADCAST_ROWS = 1_000_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -402,9 +404,14 @@ def _put_off(blocks: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
     return cut(blocks.join(places.drop("late"), ["key", "block"])) if many else blocks, many
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """(node, component) of links that are cut: by as few tasks as they need, since each makes a forest of its own links first."""
+    return connected_components(links.coalesce(max(1, links.count() // LINKS)))
+
+
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     """``rows`` with the component of their class as label."""
-    roots = connected_components(links).withColumnsRenamed({"node": "cid", "component": "root"})
+    roots = _components(links).withColumnsRenamed({"node": "cid", "component": "root"})
     return rows.drop("label").join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
 
 
@@ -448,12 +455,13 @@ def near_links(classes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept."""
-    prints = cut(sketches(docs, id_col, text_col, width))
-    # null identifiers come last
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same"))
-    grouped = prints.filter("n > 0").groupBy("sid").agg(best.alias("best"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first(F.struct("kinds", "registers")).alias("s"))
-    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "sid", "best", "least", "n", "s.kinds", "s.registers"))
-    roots = connected_components(near_links(classes, docs, id_col, text_col, width))
+    with shuffles_freed(docs.sparkSession):
+        prints = cut(sketches(docs, id_col, text_col, width))
+        # null identifiers come last
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same"))
+        grouped = prints.filter("n > 0").groupBy("sid").agg(best.alias("best"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first(F.struct("kinds", "registers")).alias("s"))
+        classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "sid", "best", "least", "n", "s.kinds", "s.registers"))
+        roots = _components(near_links(classes, docs, id_col, text_col, width))
     rooted = classes.select("cid", "sid", "least").join(roots, F.col("cid") == F.col("node"), "left").select("sid", "least", F.coalesce("component", "cid").alias("root"))
     ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
     thin = prints.select("doc_id", F.col("n").alias("n_shingles"), "sid")

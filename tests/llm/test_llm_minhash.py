@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
 from nearkin.llm import hyperminhash as hm
+from nearkin.runtime import FREED
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -185,3 +187,26 @@ def test_nearest_of_each_component():
         (a, b), = hm.nearest(block)
         got = [e[i, j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
         assert sorted(got) == sorted(want.values())
+
+
+def shuffle_files(spark):
+    """The names of the shuffle files that the session's local folders hold."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {name for f in files if (name := f.rpartition("/")[2]).startswith("shuffle_")}
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(500)]
+    rows = list(enumerate(t for n in (40, 200) for t in family(rng, words, n, 12, n // 12)))
+    before, setting = shuffle_files(spark), spark.conf.get(FREED, None)
+    got = hm.minhash_dedup(frame(spark, rows))
+    # files go in the background
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(FREED, None) == setting
+    # the result itself can be computed again
+    for _ in range(2):
+        assert {tuple(r) for r in got.collect()} == links_brute(rows)
